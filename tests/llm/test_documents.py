@@ -1,0 +1,122 @@
+"""The document operators against brute force, and over nulls, empty texts, ties and clashing columns."""
+
+import hashlib
+import re
+
+import pytest
+
+from veinstone.llm import bpe, decontam, jaccard, langid, queries, secrets
+
+ODD = [(1, None, None, None, "x"), (2, "", "en", "s", "x"), (None, "the cat sat on the mat today", None, None, None), (3, "a b", "en", "s", None), (3, "a b", "en", "s", None), (4, "A  b", "fr", "s", None), (5, "!!! ??", "en", "s", None)]
+FIELDS = "doc_id long, text string, lang string, source string, score string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, FIELDS)
+
+
+def _docs(spark, sf):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+
+
+def brute_classes(docs):
+    sets = {}
+    for d, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            k = len(sets[a] & sets[b])
+            if k and 100 * k >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {(d, len(sets[d]), find(d)) for d in ids}
+
+
+def test_jaccard_brute_force(spark, sf):
+    assert {tuple(r) for r in queries.op8_ngram_jaccard(spark, sf).collect()} == brute_classes(_docs(spark, sf))
+
+
+def test_jaccard_chains(spark):
+    base = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i, k in enumerate(range(0, 180, 3))]
+    docs += [(100 + i, " ".join(base[10 * i :] + [f"y{j}" for j in range(10 * i)])) for i in range(8)]
+    got = {tuple(r) for r in jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_classes(docs)
+
+
+def test_jaccard_edges(spark, odd):
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(odd).collect()), key=str)
+    assert (1, 0, 1) in got and (2, 0, 2) in got and (4, 1, 3) in got and got.count((3, 1, 3)) == 2
+    assert jaccard.classes(odd.limit(0)).count() == 0
+    assert sorted(r.doc_id or 0 for r in jaccard.keep_one(odd).collect()) == [0, 1, 2, 3, 5]
+
+
+def test_decontamination_brute_force(spark, sf):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for item, text in [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]:
+        w = words(text)
+        for i in range(max(1, len(w) - 12)) if w else ():
+            windows.setdefault(tuple(w[i : i + 13]), set()).add(str(item))
+    want = set()
+    for doc, text in _docs(spark, sf):
+        w, hit, items = words(text), set(), set()
+        for size in {len(x) for x in windows}:
+            for i in range(len(w) - size + 1):
+                if found := windows.get(tuple(w[i : i + size])):
+                    hit.update(range(i, i + size))
+                    items |= found
+        digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+        want.add((doc, len(w), len(hit), len(items), digest, bool(hit) and 20 * len(hit) >= len(w)))
+    got = {tuple(r) for r in queries.op4_decontamination(spark, sf).collect()}
+    assert got == want and any(r[2] for r in got)
+
+
+def test_decontamination_edges(spark, odd, monkeypatch):
+    bench = spark.createDataFrame([(1, "cat sat"), (2, None), (None, "mat"), (3, "  "), (4, "today")], "item_id long, text string")
+    one = sorted(map(str, decontam.contamination(odd, bench).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 4)
+    assert sorted(map(str, decontam.contamination(odd, bench).collect())) == one
+    assert [r.n_hit for r in decontam.contamination(odd, bench).collect() if r.doc_id is None] == [3]
+    assert decontam.contamination(odd, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_bpe_matches_library(spark, sf, odd):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, c = Tokenizer.from_file(path), bpe.codec(open(path, encoding="utf-8").read())
+    texts = [x or "" for _, x in _docs(spark, sf)] + ["", "a" * 3000, "ab" * 9, "<|endoftext|>x<|startoftext|>", "ΑΣ Σ\x1c\x85 İ ǅ ²", "don't WE'LL 12 !!!???", "é ́x"]
+    for text in texts:
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert c.encode(text) == ids and c.decode(ids) == t.decode(ids, skip_special_tokens=False)
+    assert [r.n_tokens for r in bpe.encode_digest(odd, path).collect() if r.doc_id == 1] == [0]
+
+
+def test_language_held_out(spark, sf, odd):
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = [r for r in queries.op2_language_id(spark, sf).collect() if r.held_out and lang[r.doc_id]]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in rows) >= 0.9 * len(rows)
+    got = langid.identify(odd, langid.learn(odd.limit(0))).collect()
+    assert len(got) == len(ODD) and {r.lang_pred for r in got} == {"und"}
+
+
+def test_secrets(spark, odd):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    n, found, masked = secrets.scan(f'um token = "{key}" of', "src1")
+    assert (n, len(found)) == (1, 1) and masked == 'um token = "[SECRET]" of'
+    assert secrets.scan(f"commit sha: {key} of", "src1")[1] == []
+    x, y = secrets.labelled_findings(600, seed=99)
+    assert sum((secrets.forest().score(list(a)) >= 0.5) == b for a, b in zip(x, y, strict=True)) >= 0.97 * len(y)
+    assert secrets.find_secrets(odd).count() == len(ODD)
