@@ -1 +1,41 @@
+"""Sources: Parquet tables, JSON lines, file trees and text trees; the chunk table made from documents."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def json_lines(spark: SparkSession, path: str, schema: str = "text string, metadata map<string,string>") -> DataFrame:
+    """Chunk lines; blank and malformed lines are dropped."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def file_tree(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with row: its place in that order from 0, without gathering the rows in one task."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    sizes = sorted((r.p, r.n) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one number for each partition
+    offsets, total = [F.lit(-1), F.lit(0).cast("long")], 0
+    for p, size in sizes:
+        offsets += [F.lit(p), F.lit(total).cast("long")]
+        total += size
+    return placed.withColumn("row", F.element_at(F.create_map(*[c.cast("long") for c in offsets]), part) + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, path and text: the documents as chunks of files under source, language and year."""
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/"), (2000 + F.col("doc_id") % 25).cast("string"), F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "source", "lang", "text")
+
+
+CHUNKS_SQL = "(SELECT doc_id, source || '/' || lang || '/' || CAST(2000 + doc_id % 25 AS VARCHAR) || '/doc-' || CAST(doc_id AS VARCHAR) || '.md' AS path, source, lang, text FROM documents)"
