@@ -129,6 +129,8 @@ class Model:
         both = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
         belief, sent = [list(x) for x in own], [(0.0, 0.0)] * n
         for i in range(n - 1, 0, -1):
+            if nodes[i].silent:
+                continue  # a script tells nothing about what holds it
             b0, b1 = belief[i]
             m0, m1 = (both(pair[s][0] + b0, pair[s][1] + b1) for s in (0, 1))
             top = max(m0, m1)
