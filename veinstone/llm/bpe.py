@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-CACHE = 400_000  # words remembered by one worker; the rest are encoded anew
+CACHE = 400_000  # chunks, and half as many words, remembered by one worker; the rest are encoded anew
+NEVER = 1 << 62  # above every merge's rank
 
 
 def byte_symbols() -> list[str]:
@@ -47,6 +48,7 @@ class Codec:
         pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern)
         self.normalize = Tokenizer.from_str(spec).normalizer.normalize_str
+        self.known: dict[str, list[int]] = {}
         self.older: dict[str, tuple[list[int], str, str]] = {}
         self.seen: dict[str, tuple[list[int], str, str]] = {}
 
@@ -75,15 +77,18 @@ class Codec:
 
     def merge(self, units: list[str]) -> list[str]:
         """Apply the lowest-ranked merge, leftmost first, until none is left; n log n in the fragment."""
-        n, get = len(units), self.merges.get
-        if n <= 16:
-            while n > 1:
-                best = min([m for p in zip(units, units[1:], strict=False) if (m := get(p))], default=None)
-                if best is None:
-                    break
-                i = next(i for i in range(n - 1) if units[i] + units[i + 1] == best[1] and get((units[i], units[i + 1])) == best)
-                units = [*units[:i], best[1], *units[i + 2 :]]
-                n -= 1
+        n = len(units)
+        if n <= 64:
+            rank = lambda a, b: m[0] if (m := self.merges.get((a, b))) else NEVER
+            units, ranks = list(units), [rank(a, b) for a, b in zip(units, units[1:], strict=False)]
+            while ranks and (least := min(ranks)) != NEVER:
+                i = ranks.index(least)
+                units[i : i + 2] = [units[i] + units[i + 1]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = rank(units[i - 1], units[i])
+                if i < len(ranks):
+                    ranks[i] = rank(units[i], units[i + 1])
             return units
         units, after, before = list(units), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, p) for i, p in enumerate(zip(units, units[1:], strict=False)) if (m := self.merges.get(p))]
@@ -109,9 +114,20 @@ class Codec:
                 out.append(self.special[part])
             elif part:
                 for word in self.words.findall(self.normalize(part)):
-                    out += [self.vocab[t] for f in self.fragments(word) for t in self.merge(f)]
+                    out += self.word_ids(word)
         return out
 
+    def word_ids(self, word: str) -> list[int]:
+        """The ids of a pre-token, fragment by fragment; short ones are remembered."""
+        ids = self.known.get(word)
+        if ids is None:
+            ids = [self.vocab[t] for f in self.fragments(word) for t in (self.merge(f) if len(f) > 1 else f)]
+            if len(word) <= 64:
+                if len(self.known) >= CACHE // 2:
+                    self.known = {}
+                self.known[word] = ids
+        return ids
+
     def piece(self, chunk: str) -> tuple[list[int], str, str]:
         """ids of a chunk, their decimal string and their decoded text; short ones are remembered."""
         found = self.seen.get(chunk)
