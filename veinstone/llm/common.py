@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,3 +21,8 @@ def durable(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
     return df.checkpoint()
+
+
+def text_key(text: str = "text") -> Column:
+    """16 bytes of a text's SHA-256, which name the text in joins; null for a null text."""
+    return F.substring(F.unhex(F.sha2(F.col(text), 256)), 1, 16)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_key
+
 WINDOW = 13
 BLOCK_BYTES = 16 << 20  # of benchmark text in one broadcast
 SHARD_WORDS = 2_000_000  # of training words in one suffix array; a longer document has one of its own
@@ -124,9 +126,20 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def _judged(found: DataFrame) -> DataFrame:
+    """occurrences with n_hit and contaminated, where hit words are at least a twentieth of a text's words."""
+    hit = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("sign")), lambda a, x: F.struct((a["n"] + a["sign"] * x).alias("n"), (-a["sign"]).alias("sign")))["n"]
+    return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The verdict for each row of docs: contaminated where hit words are at least a twentieth of its words."""
-    hit = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("sign")), lambda a, x: F.struct((a["n"] + a["sign"] * x).alias("n"), (-a["sign"]).alias("sign")))["n"]
-    return occurrences(docs, benchmark).select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return _judged(occurrences(docs, benchmark)).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the contaminated rows. The verdict rests on the text alone and follows it, whatever a row's id is."""
+    bad = _judged(occurrences(docs, benchmark)).where("contaminated").select(text_key().alias("_key")).distinct()
+    return docs.withColumn("_key", text_key()).join(bad, "_key", "left_anti").select(docs.columns)

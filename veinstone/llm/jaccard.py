@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, text_key
 
 WORDS, NUM, DEN = 5, 75, 100  # five words; intersection / union of at least 75 / 100
 ORDERED = 1 << 18  # common n-grams put last in the order; the order's length changes work only, never results
@@ -50,24 +50,24 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of documents (id, size, digest of the set), and of n-grams that several texts of a batch share."""
+    """Rows of documents (id, key, size, digest of the set), and of n-grams that several texts of a batch share."""
     for batch in batches:
-        ids, sizes, digests, distinct = [], [], [], {}
-        for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+        sizes, digests, distinct = [], [], {}
+        for text in batch["text"]:
             s = shingles(text if isinstance(text, str) else None)
             d = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-            ids.append(doc)
             sizes.append(len(s))
             digests.append(d)
             if d:
                 distinct[d] = s
-        yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n": sizes, "digest": digests, "gram": pd.array([None] * len(ids), dtype="Int64")})
+        ids = pd.arrays.IntegerArray(batch["doc_id"].to_numpy(np.int64, copy=True), batch["no_id"].to_numpy(bool, copy=True))
+        yield pd.DataFrame({"doc_id": ids, "key": batch["key"].values, "n": sizes, "digest": digests, "gram": pd.array([None] * len(ids), dtype="Int64")})
         if distinct:
             grams, counts = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
             often = counts >= 4
             k = int(often.sum())
             if k:
-                yield pd.DataFrame({"doc_id": pd.array([None] * k, dtype="Int64"), "n": counts[often], "digest": [None] * k, "gram": pd.array(grams[often], dtype="Int64")})
+                yield pd.DataFrame({"doc_id": pd.array([None] * k, dtype="Int64"), "key": [None] * k, "n": counts[often], "digest": [None] * k, "gram": pd.array(grams[often], dtype="Int64")})
 
 
 def _components(pairs: DataFrame) -> DataFrame:
@@ -88,8 +88,8 @@ def _components(pairs: DataFrame) -> DataFrame:
 
 def _verified(cells: DataFrame, sets: DataFrame) -> DataFrame:
     """The cells (a, b) whose exact overlap reaches the bound."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
+    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
+    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
 
     @F.pandas_udf("boolean")
     def linked(ga: pd.Series, gb: pd.Series) -> pd.Series:
@@ -105,18 +105,19 @@ def _verified(cells: DataFrame, sets: DataFrame) -> DataFrame:
     return cells.join(left, "a").join(right, "b").where(linked("ga", "gb")).select("a", "b")
 
 
-def _docs(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text")
+def _first() -> Column:
+    """The row (doc_id, key) that leads a group: the smallest doc_id, null last, and of one id's texts the smallest key."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id, one row for each input row.
+def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs (doc_id, n, digest of the set, or null without shingles), and of digests with the first row of their component.
 
-    Null, empty and wordless texts have no shingles and stand alone. Rows of equal sets, repeated rows among them, are
-    one class. A null doc_id stays null and takes part as the largest id would. Other columns are not read.
+    A row is named by its doc_id and its text's key, never by doc_id alone, and a class by a number of its own.
     """
-    docs = _docs(docs)
-    profile = durable(docs.mapInPandas(_profile, "doc_id long, n long, digest binary, gram long"))
+    docs = docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("key"))
+    seen = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text", "key")
+    profile = durable(seen.mapInPandas(_profile, "doc_id long, key binary, n long, digest binary, gram long"))
     rows = profile.where(F.col("gram").isNull())
     common = profile.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(ORDERED)
     ranked = common.collect()  # at most ORDERED rows of two numbers
@@ -124,16 +125,15 @@ def classes(docs: DataFrame) -> DataFrame:
     by_gram = np.argsort(grams)
     shared = docs.sparkSession.sparkContext.broadcast((grams[by_gram], (len(grams) - by_gram).astype(np.int64)))
 
-    reps = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = durable(reps)
-    rep_ids = reps.where(F.col("rep").isNotNull()).select(F.col("rep").alias("doc_id")).distinct()
+    reps = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(_first())
+    reps = durable(reps.select("digest", "first.doc_id", "first.key", F.monotonically_increasing_id().alias("node")))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common_grams, places = shared.value
         for batch in batches:
             ids, sizes, at, out = [], [], [], []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                s = shingles(text if isinstance(text, str) else None)
+            for doc, text in zip(batch["node"], batch["text"], strict=True):
+                s = shingles(text)
                 if not len(s):
                     continue
                 order = np.zeros(len(s), dtype=np.int64)
@@ -147,47 +147,72 @@ def classes(docs: DataFrame) -> DataFrame:
                 at.append(np.arange(take, dtype=np.int32))
                 out.append(p)
             if ids:
-                yield pd.DataFrame({"doc_id": np.concatenate(ids), "n": np.concatenate(sizes), "at": np.concatenate(at), "gram": np.concatenate(out)})
+                yield pd.DataFrame({"node": np.concatenate(ids), "n": np.concatenate(sizes), "at": np.concatenate(at), "gram": np.concatenate(out)})
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "grams": [shingles(t).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"node": batch["node"], "grams": [shingles(t).tobytes() for t in batch["text"]]})
+
+    texts = docs.where(F.col("text").isNotNull())
+    with_id, without = texts.where(F.col("doc_id").isNotNull()), texts.where(F.col("doc_id").isNull()).drop("doc_id").dropDuplicates(["key"])
 
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    own = texts.join(rep_ids, "doc_id", "left_semi")
-    rows_p = own.mapInPandas(prefixes, "doc_id long, n int, at int, gram long")
-    leaders = rows_p.groupBy("gram").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b < top").select("gram", "b")
+    def own(chosen: DataFrame) -> DataFrame:
+        """node and text of the classes chosen from reps, each by its first row."""
+        named = with_id.join(chosen.select("doc_id", "key", "node"), ["doc_id", "key"]).select("node", "text")
+        return named.union(without.join(chosen.where(F.col("doc_id").isNull()).select("key", "node"), "key").select("node", "text"))
+
+    rows_p = own(reps).mapInPandas(prefixes, "node long, n int, at int, gram long")
+    leaders = rows_p.groupBy("gram").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("gram", "b")
     # the incidence, without columns of a single row
     cells = durable(rows_p.join(leaders, "gram"))
-    sized = cells.groupBy("gram").agg(F.min_by("n", "doc_id").alias("nb"))
+    sized = cells.groupBy("gram").agg(F.min_by("n", "node").alias("nb"))
     fits = lambda a, b: (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
-    stars = cells.join(sized, "gram").where((F.col("doc_id") != F.col("b")) & fits("n", "nb")).select(F.col("doc_id").alias("a"), "b").distinct()
+    stars = cells.join(sized, "gram").where((F.col("node") != F.col("b")) & fits("n", "nb")).select(F.col("node").alias("a"), "b").distinct()
     stars = durable(stars)
-    needed = stars.select("a").union(stars.select("b")).distinct().select(F.col("a").alias("doc_id"))
-    sets = lambda ids: texts.join(ids, "doc_id", "left_semi").mapInPandas(whole, "doc_id long, grams binary")
+    needed = stars.select("a").union(stars.select("b")).distinct().select(F.col("a").alias("node"))
+    sets = lambda nodes: own(reps.join(nodes, "node", "left_semi")).mapInPandas(whole, "node long, grams binary")
     links = durable(_verified(stars, sets(needed)))
     first = _components(links)
 
     # the cells between classes that the stars have not connected
-    named = cells.join(first, cells.doc_id == first.node, "left").select("gram", "doc_id", "n", "at", F.coalesce("root", "doc_id").alias("root"))
+    named = cells.join(first, "node", "left").select("gram", "node", "n", "at", F.coalesce("root", "node").alias("root"))
     split = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
     open_cells = durable(named.join(split, "gram"))
-    x = open_cells.select("gram", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("root").alias("ra"))
-    y = open_cells.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("root").alias("rb"))
+    x = open_cells.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("root").alias("ra"))
+    y = open_cells.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("root").alias("rb"))
     most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     rest = x.join(y, "gram").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & fits("na", "nb") & (most * (DEN + NUM) >= NUM * (F.col("na") + F.col("nb")))).select("a", "b").distinct()
     rest = durable(rest.join(stars, ["a", "b"], "left_anti"))
-    needed2 = rest.select("a").union(rest.select("b")).distinct().select(F.col("a").alias("doc_id"))
+    needed2 = rest.select("a").union(rest.select("b")).distinct().select(F.col("a").alias("node"))
     more = durable(_verified(rest, sets(needed2)))
     roots = _components(links.union(more)) if not more.isEmpty() else first
 
-    named_reps = reps.join(roots, reps.rep == roots.node, "left").select("digest", F.coalesce("root", "rep").alias("component"))
-    return rows.join(named_reps, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    of_class = durable(reps.join(roots, "node", "left").select("digest", "doc_id", "key", F.coalesce("root", "node").alias("root")))
+    return rows, of_class.select("digest", "root").join(of_class.groupBy("root").agg(_first()), "root").select("digest", "first")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id, one row for each input row.
+
+    Null, empty and wordless texts have no shingles and stand alone. Rows of equal sets, repeated rows among them, are
+    one class; rows that share an id alone are not. component_id is the smallest doc_id of a row's component. A null
+    doc_id stays null and takes part as the largest id would: a component of null ids has a null component_id. Other
+    columns are not read.
+    """
+    rows, found = _components_of(docs)
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return rows.join(found, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with the row of the smallest doc_id of each component; of repeated rows with that id one stays."""
+    """docs with the first row of each component: the smallest doc_id, null last.
+
+    Of rows with that doc_id and the same text one stays. Texts without words stand alone: all of them stay, but for
+    repeats of a text under one id; a null id tells of no repeat.
+    """
     names = docs.columns
-    ids = classes(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(names)
+    first = _components_of(docs)[1].select(F.col("first.doc_id").alias("_first_id"), F.col("first.key").alias("_key")).distinct()
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
+    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": text_key(), "_row": F.when(wordless & F.col("doc_id").isNull(), F.monotonically_increasing_id())})
+    kept = marked.join(first.withColumn("_first", F.lit(True)), "_key", "left").where(wordless | (F.col("_first") & F.col("_id").eqNullSafe(F.col("_first_id"))))
+    return kept.dropDuplicates(["_id", "_key", "_row"]).select(names)
