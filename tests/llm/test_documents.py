@@ -155,3 +155,16 @@ def test_decontaminate_judges_each_row(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[1], rows[3], rows[4]]))
+
+
+def test_language_of_runs_without_blanks(spark):
+    run = lambda letters, n: (letters * n)[:n]
+    rows = [(1, "the cat sat on the mat", "en"), (2, run("天地玄黄宇宙洪荒", 700), "zh"), (3, run("いろはにほへとちりぬる", 90), "ja"), (4, run("นครราชสีมา".replace("ี", ""), 65), "th")]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["en", "ja", "th", "zh"]
+    whole = langid.Model([], [(lang, w[i : i + k], 1) for _, w, lang in rows[1:] for k in langid.GRAMS for i in range(len(w) - k + 1)])
+    two = langid.learn(spark.createDataFrame(rows[1:], "doc_id long, text string, lang string"))
+    assert two.grams.keys() == whole.grams.keys() and all((abs(two.grams[g] - whole.grams[g]) < 1e-9).all() for g in whole.grams)
+    # what stands after the first 200 letters decides
+    late = "天地" * 100 + run("いろはにほへとちりぬる", 900)
+    assert [model.predict(t)[0] for t in (late, rows[1][1] * 2, rows[3][1] * 5)] == ["ja", "zh", "th"]

@@ -1,7 +1,7 @@
 """Language identification by word-first backoff.
 
 A known word adds its log frequency in each language. An unseen word falls back to its longest known character
-n-grams, from four characters down to one.
+n-grams, from four characters down to one, over its whole length.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 20_000  # labelled documents, in the mean, that a model is fitted on
 VOCABULARY = 60_000  # most frequent (word, language) pairs kept in a model
 GRAMS = (4, 3, 2, 1)
+LONG = 60  # letters; longer runs stay out of the table of words and teach their n-grams alone
+STEP = 200
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "lang_pred string, score double"
@@ -27,8 +29,9 @@ SCHEMA = "lang_pred string, score double"
 class Model:
     """Log frequencies of words and character n-grams in each language."""
 
-    def __init__(self, counts: list[tuple[str, str, int]]) -> None:
-        self.langs = sorted({lang for lang, _, _ in counts})
+    def __init__(self, counts: list[tuple[str, str, int]], long_grams: list[tuple[str, str, int]] = ()) -> None:
+        """counts: (lang, word, n); long_grams: (lang, n-gram, n) of the runs too long to be words of the table."""
+        self.langs = sorted({lang for lang, _, _ in [*counts, *long_grams]})
         at = {lang: i for i, lang in enumerate(self.langs)}
         words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
         grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
@@ -37,6 +40,8 @@ class Model:
             for size in GRAMS:
                 for i in range(len(word) - size + 1):
                     grams[word[i : i + size]][at[lang]] += n
+        for lang, gram, n in long_grams:
+            grams[gram][at[lang]] += n
         self.words = self._logs(words)
         self.grams = {}
         for size in GRAMS:
@@ -52,8 +57,12 @@ class Model:
     def backoff(self, word: str) -> np.ndarray | float:
         """The mean over the longest n-grams of which the model knows any; nothing if it knows none."""
         for size in GRAMS:
-            if known := [g for i in range(len(word) - size + 1) if (g := self.grams.get(word[i : i + size])) is not None]:
-                return sum(known) / len(known)
+            total, known = 0.0, 0
+            for i in range(len(word) - size + 1):
+                if (g := self.grams.get(word[i : i + size])) is not None:
+                    total, known = total + g, known + 1
+            if known:
+                return total / known
         return 0.0
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -67,7 +76,7 @@ class Model:
                 known.append(v)
                 weights.append(n)
             else:
-                total += n * self.backoff(word[:200])
+                total += n * self.backoff(word)
         if known:
             total += np.asarray(weights) @ np.asarray(known)
         best = int(np.argmax(total))
@@ -75,14 +84,24 @@ class Model:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY) -> Model:
-    """Fit on a sample of the rows of docs that have a text and a lang; its size and the vocabulary are bounded."""
+    """Fit on a sample of the rows of docs that have a text and a lang; its size and the vocabulary are bounded.
+
+    Runs of over LONG letters teach at most as many (n-gram, language) pairs as the vocabulary holds, the most frequent.
+    """
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
     n = labelled.count()
     if n > sample_docs:
         labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample_docs / n))
     words = labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counts = words.where(F.length("word") <= 60).groupBy("lang", "word").count().orderBy(F.desc("count"), "lang", "word").limit(vocabulary)
-    return Model([(r["lang"], r["word"], r["count"]) for r in counts.collect()])
+    most = lambda x, key: [tuple(r) for r in x.groupBy("lang", key).count().orderBy(F.desc("count"), "lang", key).limit(vocabulary).collect()]
+    # long runs go in steps, each with the letters that its last n-grams reach beyond it, so that no row holds all n-grams of a run
+    starts = F.explode(F.sequence(F.lit(1), F.length("word"), F.lit(STEP))).alias("start")
+    part = F.substring(F.col("word"), F.col("start"), F.lit(STEP + max(GRAMS) - 1)).alias("part")
+    parts = words.where(F.length("word") > LONG).select("lang", "word", starts).select("lang", part)
+    cut = lambda size: F.transform(F.sequence(F.lit(1), F.lit(STEP)), lambda i: F.substring(F.col("part"), i, F.lit(size)))
+    whole = F.concat(*[F.filter(cut(size), lambda g: F.length(g) == F.lit(size)) for size in GRAMS])
+    long_grams = most(parts.select("lang", F.explode(whole).alias("gram")), "gram")
+    return Model(most(words.where(F.length("word") <= LONG), "word"), long_grams)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
