@@ -65,3 +65,26 @@ def test_licenses(spark):
     rows = [(1, "Zz. Released under the MIT License. Zz"), (2, None), (3, ""), (4, "the MIT"), (None, licenses.TEMPLATES["mit-notice"]), (5, licenses.TEMPLATES["apache-2.0"].upper())]
     got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "mit", 2: "", 3: "", 4: "", None: "mit-notice", 5: "apache-2.0"}
+
+
+def test_chat_query_folds_its_log(spark, sf, monkeypatch):
+    kind = "conv_id long, seq long, kind string, turn long, role string, text string"
+    log = [(1, 1, "message", 0, "user", "hi"), (1, 6, "edit", 0, None, "hello"), (1, None, "delta", 0, None, "!"), (2, 3, "message", 0, "user", "a"), (2, 3, "message", 0, "user", "a"), (2, 3, "delta", 0, None, "b"), (None, None, "edit", None, None, None)]
+    got = {r.conv_id: (r.role, r.text) for r in chat.fold(spark.createDataFrame(log, kind)).collect()}
+    assert got == {1: ("user", "hello!"), 2: ("user", "ab"), None: (None, "")}
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, None, None), (1, None, "assistant", "z"), (None, 0, "assistant", "b"), (2, 1, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert sorted(map(str, chat.digests(chat.fold(chat.events(df))).collect())) == sorted(map(str, chat.digests(df).collect()))
+    folded, fold = [], chat.fold
+    monkeypatch.setattr(chat, "fold", lambda log: folded.append(log.columns) or fold(log))
+    assert queries.op6_chat_format(spark, sf).count() and folded == [["conv_id", "seq", "kind", "turn", "role", "text"]]
+
+
+def test_chat_query_matches_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{sf}/conversations.parquet')")
+    want = con.sql(queries.SQL["op6_chat_format"]).df()
+    got = queries.op6_chat_format(spark, sf).toPandas()[list(want.columns)]
+    assert sorted(got.astype(str).values.tolist()) == sorted(want.astype(str).values.tolist())

@@ -27,17 +27,32 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def events(messages: DataFrame) -> DataFrame:
+    """The log (conv_id, seq, kind, turn, role, text) of messages (conv_id, turn, role, text).
+
+    Each row is the message of a turn of its own, repeated rows too. Turns are numbered anew in order of turn, role and text.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", text("role"), text("text"))).cast("long")
+    return messages.select("conv_id", place.alias("seq"), F.lit("message").alias("kind"), place.alias("turn"), "role", "text")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, turn, role, text) of events (conv_id, seq, kind, turn, role, text).
 
-    kind: message, edit, regenerate or delta. Events before a turn's last message, edit or regeneration are void; a
-    null text adds nothing; a regeneration's own text is ignored.
+    kind: message, edit, regenerate or delta. Events before a turn's last message, edit or regeneration are void, but a
+    turn's role is the last that any of its events names. A null seq stands behind every number; within one seq deltas
+    come last, and of several messages, edits or regenerations the greatest kind and text counts. A null text adds
+    nothing; a regeneration's own text is ignored.
     """
-    sets = F.when(F.col("kind").isin("message", "edit", "regenerate"), F.col("seq"))
-    live = events.withColumn("_set", F.max(sets).over(Window.partitionBy("conv_id", "turn"))).where(F.col("_set").isNull() | (F.col("seq") >= F.col("_set")))
-    piece = F.struct("seq", F.when(F.col("kind") == "regenerate", "").otherwise(F.coalesce("text", F.lit(""))).alias("text"), F.col("role"))
-    folded = live.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(piece)).alias("p"))
-    return folded.select("conv_id", "turn", F.element_at("p.role", 1).alias("role"), F.concat_ws("", "p.text").alias("text"))
+    sets = F.col("kind").isin("message", "edit", "regenerate")
+    delta = ~F.coalesce(sets, F.lit(False))
+    text = F.when(F.col("kind") == "regenerate", "").otherwise(F.coalesce("text", F.lit("")))
+    piece = F.struct(F.col("seq").isNull().alias("late"), "seq", delta.alias("delta"), "kind", text.alias("text"))
+    named = F.when(F.col("role").isNotNull(), F.struct(F.col("seq").isNull().alias("late"), "seq", delta.alias("delta"), "role"))
+    folded = events.groupBy("conv_id", "turn").agg(F.max(F.when(~delta, piece)).alias("base"), F.sort_array(F.collect_list(F.when(delta, piece))).alias("deltas"), F.max(named).alias("named"))
+    live = F.filter("deltas", lambda d: F.col("base").isNull() | (d > F.col("base")))
+    return folded.select("conv_id", "turn", F.col("named.role").alias("role"), F.concat(F.coalesce("base.text", F.lit("")), F.concat_ws("", F.transform(live, lambda d: d["text"]))).alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.digests(rows)
+    return chat.digests(chat.fold(chat.events(rows)))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
