@@ -1,9 +1,9 @@
-"""N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
+"""Components of the n-gram Jaccard join, by prefix filter and verification.
 
 Equal sets become one class first, so copies are never paired. Of each class the rarest n-grams that size bounds
-leave undecided make the incidence rows; the product runs by n-gram, discards cells whose size and position bounds rule
-out the wanted overlap, and the surviving cells get their exact overlap from the whole sets. Cells between classes
-already known to be connected are not worked out, which keeps large groups of near copies linear.
+leave undecided propose pairs; size and position bounds discard those that cannot reach the wanted overlap, and the
+others get their exact overlap from the whole sets. Pairs of classes already known to be connected are not worked
+out, which keeps large groups of near copies linear; so components are exact, but links are not counted.
 """
 
 from __future__ import annotations
