@@ -26,15 +26,41 @@ def test_nearest_recall_and_ties(spark, sf):
 def test_token_counts_under_edits():
     P = pytest.importorskip("public_tokenizers")
     c, r = bpe.codec(open(P.path("word_bpe_49k.json"), encoding="utf-8").read()), random.Random(1)
-    for _ in range(40):
-        text = " ".join("".join(r.choice("abc dé.1") for _ in range(9)) for _ in range(r.randint(0, 300)))
-        tree = tokencount.CountTree(text, c)
+    counts = tokencount.Counts(c)
+    for k in range(40):
+        text = " ".join("".join(r.choice("abc dé.1œ\n'") for _ in range(9)) for _ in range(r.randint(0, 300))) + "<|endoftext|>x" * (k % 3 == 0)
+        tree = tokencount.CountTree(text, counts)
         for _ in range(6):
             a = r.randint(0, len(text) + 2)
             b, new = a + r.randint(0, 400), r.choice(["", " ", "xy", "new words here " * r.randint(1, 60)])
             tree.edit(a, b, new)
             text = text[:a] + new + text[max(a, b) :] if a <= len(text) else text + new
-            assert (tree.total, tree.length) == (len(c.encode(text)), len(text))
+            assert (tree.total, tree.length, tree.text) == (len(c.encode(text)), len(text), text)
+            tree = tokencount.CountTree(text, counts, *tree.leaf_arrays()) if r.random() < 0.3 else tree
+    assert counts.of and max(counts.of.values()) > 2
+
+
+def test_token_counts_of_a_table(spark, monkeypatch):
+    """Odd rows, kept trees edited again, and bounds that do not change a count."""
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("word_bpe_49k.json")
+    c = bpe.codec(open(path, encoding="utf-8").read())
+    rows = [(1, None, 9), (2, "", 9), (3, "a b c", 9), (3, "a b c", 9), (None, "x y", 9), (4, "word " * 3000, 9), (5, "q" * 5000, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    edits = spark.createDataFrame([(3, 2, 0, 1, None), (3, 1, 1, 1, "zz"), (4, None, None, None, "all"), (None, 1, 0, 1, "no"), (77, 1, 0, 1, "no")], "doc_id long, seq long, begin long, end long, text string")
+    n = lambda t: len(c.encode(t))
+    got = sorted(((r.doc_id or 0, r.n_tokens_before, r.n_tokens, r.n_chars) for r in tokencount.counts(docs, edits, path).collect()))
+    three = (3, n("a b c"), n("zz b c"), len("zz b c"))
+    assert got == [(0, n("x y"), n("x y"), 3), (1, 0, 0, 0), (2, 0, 0, 0), three, three, (4, n("word " * 3000), n("all"), 3), (5, n("q" * 5000), n("q" * 5000), 5000)]
+    assert tokencount.counts(docs.limit(0), edits, path).count() == 0
+    log = "array(named_struct('seq', 1L, 'begin', 1L, 'end', 2L, 'text', ' new '))"
+    once = tokencount.edit(tokencount.build(docs, path).selectExpr("*", f"{log} AS edits"), path)
+    twice = tokencount.edit(once.select("doc_id", "text", "leaf_chars", "leaf_tokens").selectExpr("*", f"{log} AS edits"), path)
+    for r in twice.collect():
+        assert r.n_tokens == n(r.text) == sum(r.leaf_tokens) and r.n_chars == len(r.text) and r.n_encoded_chars <= len(r.text) + 5
+    monkeypatch.setattr(tokencount, "CACHE", 3)
+    small = tokencount.Counts(c)
+    assert [tokencount.CountTree(t, small).total for t in ("a b c d e", "f g a b <|endoftext|>é…", "a b c d e")] == [5, n("f g a b <|endoftext|>é…"), 5]
 
 
 def test_chat(spark):

@@ -268,6 +268,13 @@ def groups(texts: list[str | None], size: int = GROUP_CHARS) -> Iterator[tuple[i
             begin, held = i + 1, 0
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that few rows at a time are Python objects."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def _encoder(docs: DataFrame, tokenizer_path: str, with_ids: bool) -> DataFrame:
     spec = shared_spec(docs, tokenizer_path)
 
@@ -297,9 +304,7 @@ def _encoder(docs: DataFrame, tokenizer_path: str, with_ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(spec.value)
         try:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in slices(batches):
                 n, ids_sha, text_sha, ids = zip(*digests(c, batch.column(1).to_pylist()), strict=True)
                 columns = {"doc_id": batch.column(0).cast(pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha), "decoded_sha256": pa.array(text_sha)}
                 if with_ids:
