@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -25,85 +25,92 @@ SILENT = set("head script style noscript template title iframe object svg select
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"table", "ul", "ol", "dl", "article", "section", "div", "body", "html", "nav", "aside", "footer", "header", "main"}
+HOLDERS = {"table", "ul", "ol", "dl", "body"}
 _UNFINISHED = re.compile(r"<(?:[A-Za-z/!][^<>]*)?\Z")
 
 
 class _Node:
-    __slots__ = ("tag", "names", "parent", "text", "links", "silent", "kids")
+    __slots__ = ("tag", "names", "parent", "text", "links", "silent", "linked", "owner")
 
-    def __init__(self, tag: str, names: list[str], parent: int, silent: bool) -> None:
-        self.tag, self.names, self.parent, self.silent = tag, names, parent, silent
-        self.text = self.links = self.kids = 0
+    def __init__(self, tag: str, names: list[str], parent: int, silent: bool, linked: bool, owner: int) -> None:
+        self.tag, self.names, self.parent, self.silent, self.linked, self.owner = tag, names, parent, silent, linked, owner
+        self.text = self.links = 0
 
 
 class Tree(HTMLParser):
-    """Elements in page order (parents first) and blocks of text, each with the element that owns it."""
+    """Elements in page order (parents first) and blocks of text, each with the block element that owns it.
+
+    Work is linear in the page: the open elements of each tag are kept apart, and characters are summed at the end.
+    """
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes, self.blocks = [_Node("#root", [], -1, False)], []
-        self.open, self.run = [0], []
+        self.nodes, self.blocks = [_Node("#root", [], -1, False, False, 0)], []
+        self.open, self.run, self.where = [0], [], defaultdict(list)
         self.feed(_UNFINISHED.sub("", html))
         self.close()
         self._flush()
+        for node in reversed(self.nodes[1:]):
+            above = self.nodes[node.parent]
+            above.text += node.text
+            above.links += node.links
 
     def _flush(self) -> None:
         if self.run:
             text = " ".join("".join(self.run).split())
             if text:
-                owner = next(i for i in reversed(self.open) if self.nodes[i].tag in BLOCK or i == 0)
-                self.blocks.append((owner, text))
+                self.blocks.append((self.nodes[self.open[-1]].owner, text))
             self.run = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self._flush()
-            self._close_open({"p"}, SCOPE - {"p"})
+            self._close_open({"p"}, SCOPE)
         if tag in SIBLING:
-            self._close_open(SIBLING[tag], {"table", "ul", "ol", "dl", "body"})
+            self._close_open(SIBLING[tag], HOLDERS)
         if tag == "br":
             self.run.append(" ")
         if tag in VOID:
             return
         names = [w for k, v in attrs if k in ("class", "id", "role", "aria-label") and v for w in re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", v).lower())]
         hidden = any(k == "hidden" or k == "style" and re.search(r"display\s*:\s*none", v or "") for k, v in attrs)
-        parent = self.open[-1]
-        self.nodes[parent].kids += 1
-        self.nodes.append(_Node(tag, names, parent, self.nodes[parent].silent or hidden or tag in SILENT))
-        self.open.append(len(self.nodes) - 1)
+        parent, at = self.nodes[self.open[-1]], len(self.nodes)
+        self.nodes.append(_Node(tag, names, self.open[-1], parent.silent or hidden or tag in SILENT, parent.linked or tag == "a", at if tag in BLOCK else parent.owner))
+        self.where[tag].append(len(self.open))
+        self.open.append(at)
+
+    def _last(self, tags: set[str]) -> int:
+        """The place among the open elements of the innermost one with such a tag; 0 without any."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
+
+    def _pop(self, k: int) -> None:
+        for i in self.open[k:]:
+            self.where[self.nodes[i].tag].pop()
+        del self.open[k:]
 
     def _close_open(self, tags: set[str], stop: set[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.nodes[self.open[k]].tag
-            if tag in tags:
-                self._flush()
-                del self.open[k:]
-                return
-            if tag in stop:
-                return
+        if (k := self._last(tags)) > self._last(stop - tags):
+            self._flush()
+            self._pop(k)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self._flush()
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.nodes[self.open[k]].tag == tag:
-                del self.open[k:]
-                return
+        if self.where.get(tag):
+            self._pop(self.where[tag][-1])
 
     def handle_data(self, data: str) -> None:
-        if self.nodes[self.open[-1]].silent:
-            return
-        self.run.append(data)
-        n = len(data)
-        link = any(self.nodes[i].tag == "a" for i in self.open[-4:])
-        for i in self.open[-6:]:
-            self.nodes[i].text += n
-            self.nodes[i].links += n * link
+        node = self.nodes[self.open[-1]]
+        if not node.silent:
+            self.run.append(data)
+            node.text += len(data)
+            node.links += len(data) * node.linked
 
 
 def features(node: _Node) -> list[str]:
+    """What an element shows of itself: its tag, the share of its text in links, and its names. Lengths say nothing."""
     density = node.links / node.text if node.text else 0
-    out = [f"tag={node.tag}", f"links={'all' if density > 0.8 else 'some' if density > 0.2 else 'none'}", f"text={min(4, int(math.log10(node.text + 1)))}"]
+    out = [f"tag={node.tag}", f"links={'all' if density > 0.8 else 'some' if density > 0.2 else 'none'}"]
     return out + [f"name={w}" for w in sorted(set(node.names))]
 
 
@@ -167,7 +174,7 @@ def labelled_page(r: random.Random) -> tuple[Tree, list[int]]:
     ad = lambda: f"<div {name('ad')}>{r.choice(['', '<p>'])}{text(4, 14)}</div>"
     body = []
     for _ in range(r.randint(0, 9)):
-        body.append(r.choice([lambda: f"<p>{text(5, 90)}</p>"] * 6 + [lambda: f"<h2>{text(2, 6)}</h2>", lambda: f"<ul><li>{text(4, 15)}</li><li>{text(4, 15)}</li></ul>", lambda: f"<blockquote><p>{text(8, 30)}</p></blockquote>", lambda: f"<p><b>{text(5, 40)}<br><p>{text(5, 40)}</p>", lambda: f"<table><tr><td>{text(2, 6)}</td><td>{text(2, 6)}</td></tr></table>", lambda: f"<pre>{text(4, 20)}</pre>", lambda: f"<div><p>{text(9, 30)}</p></div>"])())
+        body.append(r.choice([lambda: f"<p>{text(5, 90)}</p>"] * 5 + [lambda: f"<p>{text(1, 3)}</p>"] * 2 + [lambda: f"<p>{text(200, 900)}</p>"] + [lambda: f"<h2>{text(2, 6)}</h2>", lambda: f"<ul><li>{text(4, 15)}</li><li>{text(4, 15)}</li></ul>", lambda: f"<blockquote><p>{text(8, 30)}</p></blockquote>", lambda: f"<p><b>{text(5, 40)}<br><p>{text(5, 40)}</p>", lambda: f"<table><tr><td>{text(2, 6)}</td><td>{text(2, 6)}</td></tr></table>", lambda: f"<pre>{text(4, 20)}</pre>", lambda: f"<div><p>{text(9, 30)}</p></div>"])())
         if r.random() < 0.06:
             body.append("<!--0-->" + r.choice([ad, lambda: f"<aside {name('side')}><p>{text(5, 20)}</p>{links()}</aside>"])() + "<!--1-->")
     title = f"<h1>{text(2, 9)}</h1>"
