@@ -7,12 +7,12 @@ n-grams, from four characters down to one, over its whole length.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +22,7 @@ GRAMS = (4, 3, 2, 1)
 LONG = 60  # letters; longer runs stay out of the table of words and teach their n-grams alone
 STEP = 200
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 SCHEMA = "lang_pred string, score double"
 
 
@@ -42,25 +42,29 @@ class Model:
                     grams[word[i : i + size]][at[lang]] += n
         for lang, gram, n in long_grams:
             grams[gram][at[lang]] += n
-        self.words = self._logs(words)
-        self.grams = {}
+        self.words, self.word_logs = self._logs(words)
+        self.grams, self.gram_logs = [], []
         for size in GRAMS:
-            self.grams |= self._logs({g: v for g, v in grams.items() if len(g) == size})
+            at_size, logs = self._logs({g: v for g, v in grams.items() if len(g) == size})
+            self.grams.append(at_size)
+            self.gram_logs.append(logs)
 
     @staticmethod
-    def _logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def _logs(counts: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
+        """The row of each key, and rows of log frequencies by language."""
         if not counts:
-            return {}
-        total = np.log(sum(counts.values()) + 0.5 * len(counts))
-        return {k: np.log(v + 0.5) - total for k, v in counts.items()}
+            return {}, np.zeros((0, 0))
+        rows = np.array(list(counts.values())) + 0.5
+        return {k: i for i, k in enumerate(counts)}, np.log(rows) - np.log(rows.sum(axis=0))
 
     def backoff(self, word: str) -> np.ndarray | float:
         """The mean over the longest n-grams of which the model knows any; nothing if it knows none."""
-        for size in GRAMS:
+        for size, at, logs in zip(GRAMS, self.grams, self.gram_logs, strict=True):
             total, known = 0.0, 0
-            for i in range(len(word) - size + 1):
-                if (g := self.grams.get(word[i : i + size])) is not None:
-                    total, known = total + g, known + 1
+            for begin in range(0, len(word) - size + 1, STEP * 50):  # a long run goes in steps
+                rows = [r for i in range(begin, min(begin + STEP * 50, len(word) - size + 1)) if (r := at.get(word[i : i + size])) is not None]
+                if rows:
+                    total, known = total + logs[rows].sum(axis=0), known + len(rows)
             if known:
                 return total / known
         return 0.0
@@ -72,13 +76,13 @@ class Model:
             return UNKNOWN, 0.0
         known, weights, total = [], [], np.zeros(len(self.langs))
         for word, n in words.items():
-            if (v := self.words.get(word)) is not None:
-                known.append(v)
+            if (row := self.words.get(word)) is not None:
+                known.append(row)
                 weights.append(n)
             else:
                 total += n * self.backoff(word)
         if known:
-            total += np.asarray(weights) @ np.asarray(known)
+            total += np.asarray(weights) @ self.word_logs[known]
         best = int(np.argmax(total))
         return self.langs[best], 1 / sum(math.exp(max(-700.0, min(0.0, x - total[best]))) for x in total)
 
@@ -86,12 +90,15 @@ class Model:
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY) -> Model:
     """Fit on a sample of the rows of docs that have a text and a lang; its size and the vocabulary are bounded.
 
+    Rows without either teach nothing and repeated rows count each time; without any labelled row the model knows no
+    language. The sample is drawn by text and doc_id, so that one text on many rows is neither all in nor all out.
     Runs of over LONG letters teach at most as many (n-gram, language) pairs as the vocabulary holds, the most frequent.
     """
-    labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
+    drawn_by = ["text", *(c for c in ("doc_id",) if c in docs.columns)]
+    labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", *drawn_by)
     n = labelled.count()
     if n > sample_docs:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample_docs / n))
+        labelled = labelled.where(F.pmod(F.xxhash64(*drawn_by), F.lit(1 << 60)) < (1 << 60) * sample_docs // n)
     words = labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     most = lambda x, key: [tuple(r) for r in x.groupBy("lang", key).count().orderBy(F.desc("count"), "lang", key).limit(vocabulary).collect()]
     # long runs go in steps, each with the letters that its last n-grams reach beyond it, so that no row holds all n-grams of a run
@@ -105,7 +112,12 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOC
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' columns with lang_pred and score. Every row stays; the text alone is read for a prediction."""
+    """docs' columns with lang_pred and score, in place of columns of those names.
+
+    Every row stays, repeated ones too; the text alone is read for a prediction. A null text and one without a letter,
+    however long, are ``und`` with a score of 0, and so is every text where the model knows no language; of languages
+    that score alike the first by name is taken.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(SCHEMA)
@@ -114,7 +126,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame([shared.value.predict(t) for t in batch], columns=["lang_pred", "score"])
 
     found = predict("text")
-    return docs.withColumns({"_found": found}).select(*docs.columns, "_found.lang_pred", "_found.score")
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    held = docs.select(*[F.col(f"`{c}`") for c in names], found.alias("_found_language"))
+    return held.select(*[F.col(f"`{c}`") for c in names], "_found_language.lang_pred", "_found_language.score")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
