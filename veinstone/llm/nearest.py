@@ -1,24 +1,27 @@
 """Approximate nearest neighbours by low-dimensional stable projections under a kd-tree.
 
 Vectors are lifted so that the largest inner product is the nearest point, projected by a Gaussian (2-stable) matrix
-and indexed by a kd-tree. A query takes leaves by their projected distance and verifies whole leaves exactly, until
-the chi-square law of projected distances says that a nearer unseen point has a chance below 1 - CONFIDENCE.
+and indexed by a kd-tree. A squared projected distance is the true one times a chi-square variable. So a query takes
+points in order of projected distance, verifies them by their exact inner product, and stops where a point as near as
+its k-th best so far would have shown itself by now with probability CONFIDENCE.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIMS, LEAF, CONFIDENCE, SEED = 8, 64, 0.98, 3
-QUERY_BLOCK = 4096  # queries in one broadcast
-SHARD = 32_768  # vectors under one tree
-SCHEMA = "query_id long, vec_id long, score double"
+DIMS, LEAF, CONFIDENCE, SEED = 32, 64, 0.75, 3
+QUERY_BLOCK = 4096  # queries, in the mean, that meet one tree at a time
+SHARD = 8192  # vectors, in the mean, under one tree
+FIRST = 8  # leaves that give a first k-th best
+STEP = 256  # points verified before the first test; each step doubles
+TOGETHER = 128  # queries whose projected distances are worked out together
+SCHEMA = "query_id long, vec_id long, score double, verified long, points long"
 
 
 def chi_square_cdf(x: np.ndarray | float, dims: int = DIMS) -> np.ndarray | float:
@@ -55,32 +58,51 @@ class Tree:
             axis = int(np.argmax(np.ptp(at[rows], axis=0)))
             rows = rows[np.argpartition(at[rows, axis], len(rows) // 2)]
             work += [rows[: len(rows) // 2], rows[len(rows) // 2 :]]
-        self.leaves = leaves
         self.low = np.array([at[x].min(axis=0) for x in leaves])
         self.high = np.array([at[x].max(axis=0) for x in leaves])
-
-    def search(self, query: np.ndarray, own: int, k: int, limit: float) -> list[tuple[float, int]]:
-        """The k best (score, id) found, by score and then smaller id, without the query's own id."""
-        p = np.append(query, 0.0) @ self.matrix
-        gap = np.maximum(0, np.maximum(self.low - p, p - self.high))
-        near = np.einsum("ij,ij->i", gap, gap)
-        order, base = np.argsort(near, kind="stable"), float(query @ query) + self.top
-        best, score, step, i = np.zeros(0, dtype=np.int64), np.zeros(0), 8, 0
-        while i < len(order):
-            if len(score) > k:
-                kth = max(0.0, base - 2 * float(score[k]))
-                if near[order[i]] > limit * kth:
-                    break
-            rows = np.concatenate([self.leaves[j] for j in order[i : i + step]])
-            i, step = i + step, min(64, step * 2)
-            best, score = np.concatenate((best, rows)), np.concatenate((score, np.einsum("ij,j->i", self.points[rows], query)))
-            if len(score) > k + 1:
-                keep = score >= -np.partition(-score, k)[k]  # ties of the last stay
-                best, score = best[keep], score[keep]
-            o = np.argsort(-score, kind="stable")
-            best, score = best[o], score[o]
-        out = [(-float(s), int(v)) for b, s in zip(best, score, strict=True) for v in self.ids[self.starts[b] : min(self.starts[b + 1], self.starts[b] + k + 1)] if v != own]
-        return [(-s, v) for s, v in sorted(set(out))[:k]]
+        # points stand in order of their leaves, so that a leaf is a slice
+        order = np.concatenate(leaves)
+        self.sizes = np.array(list(map(len, leaves)))
+        self.at, self.points = at[order], self.points[order]
+        self.size = np.einsum("ij,ij->i", self.at, self.at)
+        self.first, self.last = self.starts[order], self.starts[order + 1]
+
+    def search(self, queries: np.ndarray, owns: list[int], k: int, limit: float) -> list[tuple[list[tuple[float, int]], int]]:
+        """For each query the k best (score, id) found, by score and then smaller id, without its own id; and how many points it verified."""
+        out = []
+        for begin in range(0, len(queries), TOGETHER):
+            q = queries[begin : begin + TOGETHER]
+            p = np.column_stack((q, np.zeros(len(q)))) @ self.matrix
+            near = np.zeros((len(q), len(self.low)))  # from each query to each leaf's box
+            for d in range(p.shape[1]):
+                gap = np.maximum(0, np.maximum(self.low[:, d] - p[:, d, None], p[:, d, None] - self.high[:, d]))
+                near += gap * gap
+            apart = self.size - 2 * (p @ self.at.T) + np.einsum("ij,ij->i", p, p)[:, None]
+            base = np.einsum("ij,ij->i", q, q) + self.top
+            out += [self._verify(*x, k, limit) for x in zip(q, owns[begin : begin + TOGETHER], near, apart, base, strict=True)]
+        return out
+
+    def _verify(self, query: np.ndarray, own: int, near: np.ndarray, apart: np.ndarray, base: float, k: int, limit: float) -> tuple[list[tuple[float, int]], int]:
+        best, score, verified = np.zeros(0, dtype=np.int64), np.zeros(0), 0
+        first = np.zeros(len(near), dtype=bool)
+        first[np.argsort(near, kind="stable")[:FIRST]] = True
+        bound = np.inf
+        for leaves in (first, ~first):
+            rows = np.flatnonzero(np.repeat(leaves & (near <= bound), self.sizes) & (apart <= bound))
+            rows = rows[np.argsort(apart[rows], kind="stable")]
+            i, step = 0, STEP
+            while i < len(rows) and apart[rows[i]] <= bound:  # beyond it the chi-square test holds for all that is left
+                taken = rows[i : i + step]
+                i, step, verified = i + step, 2 * step, verified + len(taken)
+                best, score = np.concatenate((best, taken)), np.concatenate((score, self.points[taken] @ query))
+                if len(score) > k:
+                    if len(score) > k + 1:
+                        keep = score >= -np.partition(-score, k)[k]  # ties of the last stay
+                        best, score = best[keep], score[keep]
+                    bound = limit * max(0.0, base - 2 * float(score.min()))
+        exact = (self.points[best] * query).sum(axis=1) if len(best) else score
+        out = [(-float(s), int(v)) for b, s in zip(best, exact, strict=True) for v in self.ids[self.first[b] : min(self.last[b], self.first[b] + k + 1)] if v != own]
+        return [(-s, v) for s, v in sorted(set(out))[:k]], verified
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -91,41 +113,46 @@ def usable(vectors: DataFrame) -> DataFrame:
     )
 
 
+def candidates(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
+    """What each query finds in each shard: query_id, vec_id, score, and how many of the shard's points it verified.
+
+    Both sides are dealt by hash, vectors to shards and queries to blocks, and every shard meets every block in a task
+    of bounded size; nothing is collected or broadcast.
+    """
+    rows = usable(vectors)
+    counted = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
+    shards, blocks = max(1, -(-counted["n"] // SHARD)), max(1, -(-counted["q"] // QUERY_BLOCK))
+    limit = quantile(CONFIDENCE)
+    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = rows.withColumn("shard", place(shards)).withColumn("block", every_one(blocks) if blocks > 1 else F.lit(0))
+    asked = rows.where(F.col("vec_id") % every == 0).withColumn("block", place(blocks)).withColumn("shard", every_one(shards) if shards > 1 else F.lit(0))
+
+    def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(points) and len(queries):
+            sizes, wanted = points["v"].map(len).to_numpy(), queries["v"].map(len).to_numpy()
+            for dims in np.unique(wanted):
+                at = np.flatnonzero(sizes == dims)
+                if len(at):
+                    tree = Tree(points["vec_id"].to_numpy(np.int64)[at], np.stack(points["v"].to_numpy()[at]))
+                    ours = np.flatnonzero(wanted == dims)
+                    names = queries["vec_id"].to_numpy(np.int64)[ours].tolist()
+                    for q, (best, verified) in zip(names, tree.search(np.stack(queries["v"].to_numpy()[ours]), names, k, limit), strict=True):
+                        found += [(q, v, s, verified, len(tree.points)) for s, v in best]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score", "verified", "points"])
+
+    return held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(run, SCHEMA)
+
+
 def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each vec_id divisible by ``every``.
 
     Vectors of another dimension than a query's are no candidates of it; rows that repeat a vec_id with one vector
-    count once; an empty table has no rows. Queries go out in blocks, each over all shards.
+    count once; a vec_id with several vectors asks and is found with each, and its best score counts. Ties go to the
+    smaller vec_id. Vectors null, zero or unclean and null ids take no part; an empty table has no rows; other columns
+    are not read.
     """
-    rows = usable(vectors)
-    asked = rows.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    limit, out = quantile(CONFIDENCE), None
-    for block in range(blocks):
-        held = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).distinct().collect()
-        shared = vectors.sparkSession.sparkContext.broadcast([(r.vec_id, np.array(r.v)) for r in held])
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, vs = [], []
-
-            def flush() -> Iterator[pd.DataFrame]:
-                sizes = np.array([len(v) for v in vs])
-                for dims in np.unique(sizes):
-                    at = np.flatnonzero(sizes == dims)
-                    tree = Tree(np.array(ids, dtype=np.int64)[at], np.array([vs[i] for i in at]))
-                    found = [(q, i, s) for q, v in shared.value if len(v) == dims for s, i in tree.search(v, q, k, limit)]
-                    yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-            for batch in batches:
-                ids += list(batch["vec_id"])
-                vs += list(batch["v"])
-                if len(ids) >= SHARD:
-                    yield from flush()
-                    ids, vs = [], []
-            if ids:
-                yield from flush()
-
-        found = rows.mapInPandas(run, SCHEMA)
-        out = found if out is None else out.union(found)
+    best = candidates(vectors, every, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
