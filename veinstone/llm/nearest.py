@@ -126,23 +126,24 @@ def candidates(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     held = rows.withColumn("shard", place(shards)).withColumn("block", every_one(blocks) if blocks > 1 else F.lit(0))
-    asked = rows.where(F.col("vec_id") % every == 0).withColumn("block", place(blocks)).withColumn("shard", every_one(shards) if shards > 1 else F.lit(0))
+    asked = rows.where(F.col("vec_id") % every == 0).withColumn("to_block", place(blocks)).withColumn("to_shard", every_one(shards) if shards > 1 else F.lit(0))
+    asked = asked.select("to_shard", "to_block", F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
 
     def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(points) and len(queries):
-            sizes, wanted = points["v"].map(len).to_numpy(), queries["v"].map(len).to_numpy()
+            sizes, wanted = points["v"].map(len).to_numpy(), queries["query"].map(len).to_numpy()
             for dims in np.unique(wanted):
                 at = np.flatnonzero(sizes == dims)
                 if len(at):
                     tree = Tree(points["vec_id"].to_numpy(np.int64)[at], np.stack(points["v"].to_numpy()[at]))
                     ours = np.flatnonzero(wanted == dims)
-                    names = queries["vec_id"].to_numpy(np.int64)[ours].tolist()
-                    for q, (best, verified) in zip(names, tree.search(np.stack(queries["v"].to_numpy()[ours]), names, k, limit), strict=True):
+                    names = queries["query_id"].to_numpy(np.int64)[ours].tolist()
+                    for q, (best, verified) in zip(names, tree.search(np.stack(queries["query"].to_numpy()[ours]), names, k, limit), strict=True):
                         found += [(q, v, s, verified, len(tree.points)) for s, v in best]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score", "verified", "points"])
 
-    return held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(run, SCHEMA)
+    return held.groupBy("shard", "block").cogroup(asked.groupBy("to_shard", "to_block")).applyInPandas(run, SCHEMA)
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
