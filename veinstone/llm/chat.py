@@ -56,32 +56,42 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """conv_id, formatted and loss_spans (begin, length by code point of each assistant text in formatted).
+    """conv_id, formatted and loss_spans: of each assistant text in formatted begin and length by code point and by byte.
 
     Rows of one turn stand in order of role and text; null roles and texts are empty; a null conv_id is one
-    conversation; repeated rows are turns of their own; an empty table gives no conversation.
+    conversation; repeated rows are turns of their own; an empty table gives no conversation. A conversation is one
+    string, so all of its rows meet in one task.
     """
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     head = F.concat(F.lit("<turn "), escape(F.col("role")), F.lit(">\n"))
     rows = rows.withColumns({"head": head, "body": escape(F.col("text"))}).withColumn("turn_text", F.concat("head", "body", F.lit(END)))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    place = F.sum(F.length("turn_text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("turn_text")
-    rows = rows.withColumns({"at": F.row_number().over(order), "begin": place + F.length("head")})
-    spans = F.when(F.col("role") == "assistant", F.struct("begin", F.length("body").cast("long").alias("length")))
+    begin = lambda size: F.sum(size("turn_text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size("turn_text") + size("head")
+    rows = rows.withColumns({"at": F.row_number().over(order), "begin": begin(F.length), "byte": begin(F.octet_length)})
+    spans = F.when(F.col("role") == "assistant", F.struct("begin", F.length("body").cast("long").alias("length"), "byte", F.octet_length("body").cast("long").alias("bytes")))
     return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "turn_text"))).alias("t"), F.sort_array(F.collect_list(spans)).alias("loss_spans")).select("conv_id", F.concat_ws("", "t.turn_text").alias("formatted"), "loss_spans")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """formatted with turns (role, text): the marks are split and the texts unescaped."""
+    """formatted with turns (role, text): the marks are split and the texts unescaped.
+
+    A conversation without a mark has no turns; rows stay as they are, repeated ones too.
+    """
     parts = F.transform(F.filter(F.split("formatted", END), lambda x: x != ""), lambda x: F.struct(unescape(F.substring_index(F.substring(x, 7, 2147483647), ">", 1)).alias("role"), unescape(F.regexp_replace(x, "(?s)^[^>]*>\n", "")).alias("text")))
     return formatted.withColumn("turns", parts)
 
 
+def masked(formatted: DataFrame) -> DataFrame:
+    """formatted with loss: the text under its loss spans, cut out of formatted by bytes and unescaped; empty without spans."""
+    raw = formatted.withColumn("raw", F.col("formatted").cast("binary")).withColumn("formatted_bytes", F.octet_length("raw").cast("long"))
+    cut = F.transform("loss_spans", lambda s: F.substr(F.col("raw"), (s["byte"] + 1).cast("int"), s["bytes"].cast("int")).cast("string"))
+    return raw.withColumn("loss", unescape(F.concat_ws("", cut))).drop("raw")
+
+
 def digests(messages: DataFrame) -> DataFrame:
-    """What is read back from each formatted conversation, as counts and digests."""
+    """What is read back from each formatted conversation, as counts and digests; render states the odd cases."""
     turns = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    loss = F.concat_ws("", F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]))
-    return read_back(render(messages)).select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    return masked(read_back(render(messages))).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
