@@ -69,6 +69,10 @@ def test_chat(spark):
     back = {r.conv_id: r for r in chat.read_back(chat.render(df)).collect()}
     assert [(t.role, t.text) for t in back[1].turns] == [("", ""), ("user", rows[0][3]), ("assistant", rows[1][3])] and len(back[2].turns) == 2
     (s,) = back[1].loss_spans
+    # the loss follows the spans, not the roles: a wrong span must show
+    wrong = chat.render(df).withColumn("loss_spans", chat.F.transform("loss_spans", lambda x: x.withField("byte", x["byte"] - 1).withField("bytes", x["bytes"] + 1)))
+    assert {r.conv_id: r.loss for r in chat.masked(chat.render(df)).collect()} == {1: rows[1][3], 2: ""} and chat.masked(wrong).where("conv_id = 1").first().loss == "\n" + rows[1][3]
+    assert chat.digests(chat.fold(chat.events(df.limit(0)))).count() == 0
     assert back[1].formatted[s.begin : s.begin + s.length].replace("\\l", "<").replace("\\g", ">").replace("\\b", "\\") == rows[1][3]
     events = [(1, 1, "message", 0, "user", "hi"), (1, 2, "delta", 1, "assistant", "old"), (1, 3, "regenerate", 1, "assistant", "x"), (1, 4, "delta", 1, None, "ne"), (1, 5, "delta", 1, None, "w"), (1, 6, "edit", 0, "user", "hello")]
     got = chat.fold(spark.createDataFrame(events, "conv_id long, seq long, kind string, turn long, role string, text string")).orderBy("turn").collect()
@@ -88,9 +92,25 @@ def test_pages():
 
 
 def test_licenses(spark):
-    rows = [(1, "Zz. Released under the MIT License. Zz"), (2, None), (3, ""), (4, "the MIT"), (None, licenses.TEMPLATES["mit-notice"]), (5, licenses.TEMPLATES["apache-2.0"].upper())]
-    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: "mit", 2: "", 3: "", 4: "", None: "mit-notice", 5: "apache-2.0"}
+    words = licenses.MIT.split()
+    altered = " ".join(w if i % 40 else "Zz" for i, w in enumerate(words))
+    rows = [(1, "Zz. Released under the MIT License. Zz"), (2, None), (3, ""), (4, "the MIT"), (None, licenses.TEMPLATES["mit-notice"]), (5, licenses.TEMPLATES["apache-2.0"].upper()), (6, "a b " * 50_000 + licenses.ISC + " c d" * 50_000), (7, altered), (8, " ".join(words[:90]))]
+    rows += [(100 + i, "zz " * i + licenses.UNLICENSE) for i in range(70)]  # whatever its place among the windows
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, s string")
+    got = {r.doc_id: r.licenses for r in licenses.scan(df).collect()}
+    assert [got[k] for k in (1, 2, 3, 4, None, 5, 6, 7, 8)] == ["mit", "", "", "", "mit-notice", "apache-2.0", "isc-text", "mit-notice,mit-text", "mit-notice"]
+    assert {got[100 + i] for i in range(70)} == {"unlicense-text"} and licenses.scan(df.limit(0)).count() == 0
+    assert [licenses.spacing(n) for n in (1, 12, 13, 25, 26, 49, 50)] == [0, 0, 8, 8, 16, 16, 32]
+
+
+def test_licenses_match_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = con.sql(licenses.sql()).df()
+    got = licenses.scan(spark.read.parquet(f"{sf}/documents.parquet")).toPandas()[list(want.columns)]
+    assert sorted(got.astype(str).values.tolist()) == sorted(want.astype(str).values.tolist())
 
 
 def test_chat_query_folds_its_log(spark, sf, monkeypatch):
