@@ -172,6 +172,37 @@ def test_secret_gate_agrees_with_candidates(model):
         assert secrets.scan(f'{name}="{value}" of', "src1", model)[2] == f'{name}="[SECRET]" of', name
 
 
+def test_longest_matches(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    item = [f"t{i}" for i in range(60)]
+    bench = [("a", " ".join(item)), ("b", "t0 t1 t2"), ("c", " ".join(r.choice(["x", "y"]) for _ in range(80)))]
+    docs = [" ".join(["q"] * 5 + item[10:40] + ["q"] + item[30:60]), "t0 t1 t2 t0 t1 t2", " ".join(r.choice(["x", "y"]) for _ in range(400)), " ".join(item), " ".join(item[:12])]
+    df, test = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(bench, "item_id string, text string")
+    want = set()
+    for d, text in enumerate(docs):
+        w = text.split()
+        for name, other in bench:
+            v = other.split()
+            for i in range(len(w)):
+                for j in range(len(v)):
+                    if i and j and w[i - 1] == v[j - 1]:
+                        continue
+                    n = 0
+                    while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                        n += 1
+                    if n >= min(decontam.WINDOW, len(v)):
+                        want.add((d, name, i, j, n))
+    got = lambda: [(x.doc_id, m.item, m.doc_word, m.item_word, m.length) for x in decontam.occurrences(df, test).collect() for m in x.matches]
+    found = got()
+    assert set(found) == want and len(found) == len(want) and (0, "a", 5, 10, 30) in want
+    verdict = sorted(map(str, decontam.contamination(df, test).collect()))
+    monkeypatch.setattr(decontam, "PART", 50)  # items in overlapping parts
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 60)
+    assert sorted(map(str, decontam.contamination(df, test).collect())) == verdict
+
+
 def test_rows_without_an_id_of_their_own(spark):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
     near = text(1) + " more"

@@ -1,7 +1,8 @@
 """Benchmark decontamination over suffix arrays of training shards.
 
-Each task builds sorted suffixes of the training words that it holds, binary-searches every test suffix in them and
-marks the words of every occurrence. The test set comes in blocks of bounded size, each broadcast by itself.
+Each task sorts the suffixes of the training words that it holds and binary-searches every suffix of the test set in
+them, which gives each test suffix its longest verbatim match and all places of that match. A document word is hit
+where such a match is as long as a window, or as a shorter item. The test set comes in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ WINDOW = 13
 BLOCK_BYTES = 16 << 20  # of benchmark text in one broadcast
 SHARD_WORDS = 2_000_000  # of training words in one suffix array; a longer document has one of its own
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-FOLD_SCHEMA = "doc_id long, text string, n_words long, spans array<int>, items array<string>"
+PART = 1 << 20  # bytes of one test text in a block; a longer one goes in parts that overlap by a window
+FOLD_SCHEMA = "doc_id long, text string, n_words long, spans array<int>, items array<string>, matches array<struct<item:string,doc_word:int,item_word:int,length:int>>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -27,26 +29,37 @@ def words(text: str | None) -> list[bytes]:
 
 
 class TestSet:
-    """The suffixes of one block of test items, as ids of words."""
+    """The suffixes of one block of test texts (item, first word, text), as ids of words."""
 
-    def __init__(self, items: list[tuple[str, str]]) -> None:
+    def __init__(self, items: list[tuple[str, int, str]]) -> None:
         self.ids: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            seq = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
-            for i in range(max(1, len(seq) - WINDOW + 1)) if seq else ():
-                windows.setdefault(tuple(seq[i : i + WINDOW]), set()).add(item)
-        self.windows = list(windows)
-        self.owners = [sorted(windows[w]) for w in self.windows]
-        self.lengths = np.array([len(w) for w in self.windows], dtype=np.int64)
-        self.low = _keys(np.array([w + (0,) * (WINDOW - len(w)) for w in self.windows], dtype=">u4").reshape(-1, WINDOW))
-        top = 0xFFFFFFFF
-        self.high = _keys(np.array([w + (top,) * (WINDOW - len(w)) for w in self.windows], dtype=">u4").reshape(-1, WINDOW))
-        self.heads = np.unique(np.array([(w[0] << 32) | w[1] for w in self.windows if len(w) > 1], dtype=np.int64))
-        self.single = np.unique(np.array([w[0] for w in self.windows if len(w) == 1], dtype=np.int64))
-
-    def search(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, int]]:
-        """(document, first word, window) of every occurrence in a shard."""
+        self.items, self.offsets = [i for i, _, _ in items], [at for _, at, _ in items]
+        seqs = [[self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)] for _, _, text in items]
+        self.seq = np.array([x for seq in seqs for x in (*seq, 0)] + [0] * WINDOW, dtype=np.int64)  # 0 ends a text
+        n = np.array([len(seq) for seq in seqs], dtype=np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(n + 1)[:-1])) if len(n) else n
+        owner = np.repeat(np.arange(len(n)), n)
+        self.at = np.concatenate([np.arange(b, b + k) for b, k in zip(self.starts, n, strict=True)]) if len(n) else n
+        # a suffix's prefix counts from WINDOW words on, or from the whole of a shorter item on
+        self.need = np.minimum(WINDOW, n)[owner]
+        full = self.at + self.need <= (self.starts + n)[owner]
+        self.at, self.owner, self.need = self.at[full], owner[full], self.need[full]
+        rows = self.seq[self.at[:, None] + np.arange(WINDOW)] if len(self.at) else np.zeros((0, WINDOW), np.int64)
+        beyond = np.arange(WINDOW) >= self.need[:, None]
+        self.low = _keys(np.where(beyond, 0, rows).astype(">u4"))
+        self.high = _keys(np.where(beyond, 0xFFFFFFFF, rows).astype(">u4"))
+        self.heads = np.unique(rows[:, 0]) if len(rows) else np.zeros(0, np.int64)
+        second = self.need > 1
+        self.pairs = np.unique((rows[second, 0] << 32) | rows[second, 1]) if len(rows) else np.zeros(0, np.int64)
+        self.single = np.unique(rows[~second, 0]) if len(rows) else np.zeros(0, np.int64)
+
+    def search(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(document, its first word, item, its first word, length) of the matches that test suffixes have in a shard.
+
+        Every test suffix is looked up; each of its places is extended to the longest match there. Places that a longer
+        match of the same item covers, one word ahead of both, are parts of that match and aren't repeated. A training
+        suffix whose first words open no test suffix can't match any, so it isn't sorted.
+        """
         sizes = [len(t) for t in texts]
         get = self.ids.get
         seq = np.zeros(sum(sizes) + len(texts) + WINDOW, dtype=np.int64)  # 0: unknown, and between documents
@@ -55,17 +68,35 @@ class TestSet:
         for s, t in zip(starts, texts, strict=False):
             seq[s : s + len(t)] = [get(w, 0) for w in t]
         first, second = seq[: len(owner)], seq[1 : len(owner) + 1]
-        keep = np.isin((first << 32) | second, self.heads) | np.isin(first, self.single)
+        keep = np.isin((first << 32) | second, self.pairs) | np.isin(first, self.single)
         at = np.flatnonzero(keep & (first > 0))
-        if not len(at) or not len(self.windows):
+        if not len(at) or not len(self.at):
             return
         suffix = _keys(seq[at[:, None] + np.arange(WINDOW)].astype(">u4"))
         order = np.argsort(suffix, kind="stable")
         suffix, at = suffix[order], at[order]
         lo, hi = np.searchsorted(suffix, self.low, "left"), np.searchsorted(suffix, self.high, "right")
-        for w in np.flatnonzero(hi > lo):
-            for p in at[lo[w] : hi[w]]:
-                yield int(owner[p]), int(p - starts[owner[p]]), int(w)
+        found = np.flatnonzero(hi > lo)
+        n = hi[found] - lo[found]
+        for begin in range(0, len(found), 4096):  # places of some test suffixes at a time
+            f, k = found[begin : begin + 4096], n[begin : begin + 4096]
+            mine = np.repeat(f, k)
+            place = at[np.repeat(lo[f], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+            test = self.at[mine]
+            # maximal on the left: the words before differ, or one of them is the end of its text
+            left = np.where((place > 0) & (test > 0), seq[place - 1], 0)
+            part = (left > 0) & (left == self.seq[test - 1]) & (test > self.starts[self.owner[mine]])
+            part &= self.need[mine] == WINDOW  # a shorter item has no longer match
+            mine, place, test = mine[~part], place[~part], test[~part]
+            length = self.need[mine].copy()
+            grow = np.arange(len(mine))
+            while len(grow):
+                a, b = place[grow] + length[grow], test[grow] + length[grow]
+                more = seq[np.minimum(a, len(seq) - 1)]
+                grow = grow[(more > 0) & (a < len(seq)) & (more == self.seq[np.minimum(b, len(self.seq) - 1)])]
+                length[grow] += 1
+            doc = owner[place]
+            yield from zip(doc.tolist(), (place - starts[doc]).tolist(), self.owner[mine].tolist(), (test - self.starts[self.owner[mine]]).tolist(), length.tolist(), strict=True)
 
 
 def _keys(rows: np.ndarray) -> np.ndarray:
@@ -73,6 +104,16 @@ def _keys(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows).view(f"S{4 * WINDOW}").ravel() if len(rows) else np.array([], dtype=f"S{4 * WINDOW}")
 
 
+def _parts(item: str, text: str) -> Iterator[tuple[str, int, str]]:
+    """A test text in parts of bounded size; a part repeats the last words of the one before, so no window is lost."""
+    if len(text) <= PART:
+        yield item, 0, text
+        return
+    seq, step = words(text), max(WINDOW, PART // 8)
+    for begin in range(0, max(1, len(seq) - WINDOW + 1), step):
+        yield item, begin, b" ".join(seq[begin : begin + step + WINDOW - 1]).decode("utf-8", "surrogatepass")
+
+
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -95,31 +136,36 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, lis
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs' doc_id and text with n_words, merged word spans (start, end, start, end, ...) that are hit, and items.
+    """docs' doc_id and text with n_words, merged word spans (start, end, ...) that are hit, items, and the matches.
 
-    One row for each input row. Null or wordless texts have no words and no hits; items with a null item_id or no
-    words are passed over; an empty benchmark hits nothing. Test blocks pass over the shards one after another.
+    A match (item, doc_word, item_word, length) is a longest verbatim run of words that a document and an item share, of
+    a window's length at least or the whole of a shorter item; a run that goes over a boundary of the parts of a long
+    item is given by part. One row for each input row, repeated ones too. Null or wordless texts have no words and no
+    hits; items with a null item_id or no words are passed over; an empty benchmark hits nothing. Test blocks pass over
+    the shards one after another; each is a broadcast of about BLOCK_BYTES.
     """
     spark = docs.sparkSession
     test = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
     n_bytes = test.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-n_bytes // BLOCK_BYTES) or 1
-    out = docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    none = lambda kind: F.array().cast(kind)
+    out = docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("n_words"), none("array<int>").alias("spans"), none("array<string>").alias("items"), none("array<struct<item:string,doc_word:int,item_word:int,length:int>>").alias("matches"))
     for block in range(n_blocks):
         rows = test.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).collect()  # about BLOCK_BYTES
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in rows])
+        shared = spark.sparkContext.broadcast([part for r in rows for part in _parts(r.item_id, r.text)])
 
         def fold(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            found = TestSet(shared.value)
+            known = TestSet(shared.value)
             for part, texts in _shards(batches):
                 spans: list[list[tuple[int, int]]] = [list(zip(s[::2], s[1::2], strict=True)) for s in part["spans"]]
-                items = [set(x) for x in part["items"]]
-                for doc, start, w in found.search(texts):
-                    spans[doc].append((start, start + int(found.lengths[w])))
-                    items[doc].update(found.owners[w])
+                items, matches = [set(x) for x in part["items"]], [list(x) for x in part["matches"]]
+                for doc, start, item, word, length in known.search(texts):
+                    spans[doc].append((start, start + length))
+                    items[doc].add(known.items[item])
+                    matches[doc].append({"item": known.items[item], "doc_word": start, "item_word": word + known.offsets[item], "length": length})
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].astype("Int64").values, "text": part["text"].values, "n_words": [len(t) for t in texts],
-                    "spans": [[int(x) for ab in merge_spans(s) for x in ab] for s in spans], "items": [sorted(x) for x in items],
+                    "spans": [[int(x) for ab in merge_spans(s) for x in ab] for s in spans], "items": [sorted(x) for x in items], "matches": matches,
                 })
 
         out = out.mapInPandas(fold, FOLD_SCHEMA)
@@ -133,7 +179,10 @@ def _judged(found: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The verdict for each row of docs: contaminated where hit words are at least a twentieth of its words."""
+    """The verdict for each row of docs: contaminated where hit words are at least a twentieth of its words.
+
+    Odd rows are as in occurrences; a text without words is never contaminated.
+    """
     return _judged(occurrences(docs, benchmark)).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
     )
