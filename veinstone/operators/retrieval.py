@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,53 +10,68 @@ from pyspark.sql import functions as F
 
 from ..functions.text import identifiers
 from ..functions.vectors import dot
+from ..sources.shared import written
 
 LEXICAL_WEIGHT, BODY, PATH, IDF_POWER, MAX_DF, POOL = 0.35, 0.45, 0.55, 2.0, 500, 600
+SENT = 4096  # queries that are sent to every task at once
 
 
 def path_filter(path: Column, category: str | None = None, source_prefix: str | None = None, source: str | None = None, year: int | None = None, exclude: list[str] | None = None) -> Column:
-    """The conjunction of the given filters; categories match whole segments, prefixes match literally."""
-    tests = [F.lit(True)]
+    """The conjunction of the given filters; categories match whole segments, prefixes match literally. A null path is empty."""
+    path, tests = F.translate(F.coalesce(path, F.lit("")), "\\", "/"), [F.lit(True)]
     if category:
         c = category.replace("\\", "/").strip("/")
         tests.append((path == c) | path.startswith(f"{c}/"))
     if source_prefix:
-        tests.append(path.startswith(source_prefix))
+        tests.append(path.startswith(source_prefix.replace("\\", "/")))
     if source:
         tests.append(path == source.replace("\\", "/"))
     if year:
         tests.append(path.rlike(f"(?:^|[^0-9]){year}(?:[^0-9]|$)"))
-    tests += [~path.startswith(p.strip("/")) for p in exclude or [] if p.strip("/")]
+    tests += [~path.startswith(p) for p in (x.replace("\\", "/").strip("/") for x in exclude or []) if p]
     return reduce(lambda a, b: a & b, tests)
 
 
 def dense_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, dense and rank of the k best chunks of each query; queries are few and sized by the caller."""
-    scored = chunks.crossJoin(F.broadcast(queries)).select("query_id", "doc_id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("dense"))
+    """query_id, doc_id, dense and rank of the k best chunks of each query.
+
+    Queries are counted: while they are few they are sent to the chunks, else both sides are dealt to blocks.
+    """
+    n = queries.count()
+    if n <= SENT:
+        pairs = chunks.crossJoin(F.broadcast(queries))
+    else:
+        blocks = -(-n // SENT)
+        every = chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pairs = every.join(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "_block")
+    scored = pairs.select("query_id", "doc_id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("dense"))
     order = Window.partitionBy("query_id").orderBy(F.desc("dense"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def postings(chunks: DataFrame, max_df: int = MAX_DF) -> DataFrame:
-    """token, df and sorted doc_ids of identifiers in at most max_df chunks; longer lists are never gathered."""
+    """token, df and sorted doc_ids of identifiers in at most max_df chunks.
+
+    One shuffle: of a token no task sends more than max_df + 1 rows, so a longer list is told apart but never gathered.
+    """
     pairs = chunks.select("doc_id", F.explode(identifiers(F.col("text"))).alias("token"))
-    few = pairs.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") <= max_df)
-    return pairs.join(few, "token").groupBy("token", "df").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
+    first = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("token").orderBy("doc_id"))).where(F.col("_r") <= max_df + 1)
+    return first.groupBy("token").agg(F.count("*").alias("df"), F.sort_array(F.collect_list("doc_id")).alias("docs")).where(F.col("df") <= max_df)
 
 
 def lexical_scores(pool: DataFrame, terms: list[str]) -> DataFrame:
-    """pool with lexical: squared-IDF share of the terms in text and path, over the pool's own frequencies."""
-    hit = lambda c, t: F.lower(c).rlike(rf"(?<![a-z0-9]){''.join(chr(92) + x if not x.isalnum() else x for x in t)}(?![a-z0-9])").cast("int")
-    marked = pool
-    for i, t in enumerate(terms):
-        marked = marked.withColumns({f"_b{i}": hit("text", t), f"_p{i}": hit("path", t)})
-    totals = marked.agg(F.count("*").alias("_n"), *[F.sum(F.col(f"_b{i}") + F.col(f"_p{i}")).alias(f"_f{i}") for i in range(len(terms))])
-    weighed = marked.crossJoin(F.broadcast(totals))  # one row
-    w = [F.pow(F.log((F.col("_n") + 1) / (F.col(f"_f{i}") + 0.5)), IDF_POWER) for i in range(len(terms))]
+    """pool with lexical: squared-IDF share of the terms in text and path, over the pool's own frequencies.
+
+    Hits are looked for once and written with the pool, so that totals and scores read bits instead of texts.
+    """
+    hit = lambda c, t: F.coalesce(F.lower(c).rlike(rf"(?<![a-z0-9]){''.join(chr(92) + x if not x.isalnum() else x for x in t)}(?![a-z0-9])"), F.lit(False)).cast("int")
+    marked = written(pool.withColumns({f"_{k}{i}": hit(c, t) for i, t in enumerate(terms) for k, c in (("b", "text"), ("p", "path"))}))
+    totals = marked.agg(F.count("*").alias("_n"), *[F.sum(F.col(f"_b{i}") + F.col(f"_p{i}")).alias(f"_f{i}") for i in range(len(terms))]).first()  # one row
+    w = [F.lit(math.log((totals["_n"] + 1) / (totals[f"_f{i}"] + 0.5)) ** IDF_POWER if totals["_n"] else 0.0) for i in range(len(terms))]
     total = reduce(lambda a, b: a + b, w)
     part = lambda k: reduce(lambda a, b: a + b, [w[i] * F.col(f"_{k}{i}") for i in range(len(terms))]) / total
     score = F.when(total <= 1e-9, 0.0).otherwise(F.least(F.lit(1.0), BODY * part("b") + PATH * part("p")))
-    return weighed.withColumn("lexical", score).select(*pool.columns, "lexical")
+    return marked.withColumn("lexical", score).select(*pool.columns, "lexical")
 
 
 def fuse(dense: Column, lexical: Column, weight: float = LEXICAL_WEIGHT) -> Column:

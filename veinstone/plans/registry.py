@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..operators import browse as B
 from ..operators import retrieval as R
 from ..sources import CHUNKS_SQL, chunks, numbered, table
 
@@ -83,8 +84,7 @@ def row_numbers(spark, d):
 
 @query("SELECT source, CAST(sum(n) OVER (ORDER BY source) - n AS BIGINT) AS start_row, CAST(sum(n) OVER (ORDER BY source) AS BIGINT) AS end_row FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
 def source_spans(spark, d):
-    rows = numbered(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id")
-    return rows.groupBy("source").agg(F.min("row").alias("start_row"), (F.max("row") + 1).alias("end_row"))
+    return B.spans(table(spark, d, "documents"))
 
 
 @query(f"SELECT split_part(path, '/', 1) AS category, count(*) AS documents, min(path) AS first_path FROM {CHUNKS_SQL} GROUP BY 1")
@@ -125,12 +125,32 @@ def hybrid_search(spark, d):
     return R.best_per_source(fused, "source", "score", "doc_id", 5).select("doc_id", "path", "score")
 
 
-@query()
+_W = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_LINES = rf"list_filter(list_transform(regexp_split_to_array(t, '[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(x, '^{_W}+|{_W}+$', '', 'g')), lambda x: x <> '')"
+_LOW = rf"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), b AS (SELECT *, regexp_replace(t, '{_W}', '', 'g') AS bare, {_LINES} AS lines FROM a)
+SELECT doc_id, CASE WHEN bare = '' THEN 'empty' ELSE concat_ws(',',
+  CASE WHEN length(bare) >= 120 AND len(list_distinct(string_split(bare, ''))) <= 12 THEN 'repetitive' END,
+  CASE WHEN length(t) >= 200 AND length(bare) < 0.15 * length(t) THEN 'sparse' END,
+  CASE WHEN length(t) >= 100 AND NOT regexp_matches(t, '[A-Za-z\x{{4e00}}-\x{{9fff}}]') THEN 'numeric' END,
+  CASE WHEN len(lines) > 0 AND len(list_filter(lines, lambda x: regexp_matches(x, '(?i)^([-*]{_W}+)?(https?://|\[[^\]]+\]\(https?://)'))) / len(lines) >= 0.6 THEN 'link-heavy' END,
+  CASE WHEN NOT regexp_matches(t, '[0-9A-Za-z\x{{4e00}}-\x{{9fff}}]') THEN 'no-text' END,
+  CASE WHEN len(lines) >= 3 AND len(list_filter(lines, lambda x: length(x) >= 64 AND regexp_full_match(x, '[A-Za-z0-9+/]+=?=?'))) / len(lines) >= 0.5 THEN 'blob-heavy' END) END AS reasons FROM b"""
+
+
+@query(_LOW)
 def low_information(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(T.low_information(F.coalesce("text", F.lit(""))), ",").alias("reasons"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.low_information(F.col("text")), ",").alias("reasons"))
+
+
+def _redacted_sql(t: str) -> str:
+    """Redaction with a captured character in place of the look-behind."""
+    t = f"regexp_replace({t}, '(?is)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----', '<REDACTED_PRIVATE_KEY>', 'g')"
+    t = rf"regexp_replace({t}, '(?i)(^|[^\p{{L}}\p{{N}}_])((?:authorization{_W}*:{_W}*bearer|bearer){_W}+)[A-Za-z0-9._~+/=-]{{8,}}', '\1\2<REDACTED>', 'g')"
+    secret = rf"(?i)(^|[^\p{{L}}\p{{N}}_])((?:api[_-]?key|secret[_-]?key|access[_-]?token|token|password|passwd|cookie){_W}*[:=]{_W}*[\x22\x27]?)([^\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}\x22\x27]{{4,}})"
+    return rf"regexp_replace({t}, '{secret}', '\1\2<REDACTED>', 'g')"
 
 
-@query()
+@query(f"SELECT doc_id, sha256({_redacted_sql("coalesce(text, '')")}) AS redacted_sha256 FROM documents")
 def redact(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(T.redact(F.coalesce("text", F.lit(""))), 256).alias("redacted_sha256"))
 
