@@ -78,7 +78,7 @@ def candidates(chunks: DataFrame, queries: DataFrame, recalled: list[DataFrame],
 
 def lexical(pool: DataFrame, queries: DataFrame) -> DataFrame:
     """pool (query_id, cand_pos, source, text) with lexical: weights by the terms' frequencies in each query's own pool."""
-    held = lambda c: F.when(F.col("alone"), F.lower(c).rlike(F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.col("term"), F.lit(r"\E(?![a-z0-9])")))).otherwise(F.contains(F.lower(c), F.col("term"))).cast("int")
+    held = lambda c: F.when(F.col("alone"), F.regexp_like(F.lower(c), F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.col("term"), F.lit(r"\E(?![a-z0-9])")))).otherwise(F.contains(F.lower(c), F.col("term"))).cast("int")
     text, source = F.coalesce("text", F.lit("")), T.path(F.coalesce("source", F.lit("")))
     hits = pool.join(small(terms(queries), 128), "query_id").select("query_id", "cand_pos", "pos", held(text).alias("b"), held(source).alias("p"))
     every = Window.partitionBy("query_id", "pos")
