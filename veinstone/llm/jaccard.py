@@ -1,9 +1,12 @@
-"""Components of the n-gram Jaccard join, by prefix filter and verification.
-
-Equal sets become one class first, so copies are never paired. Of each class the rarest n-grams that size bounds
-leave undecided propose pairs; size and position bounds discard those that cannot reach the wanted overlap, and the
-others get their exact overlap from the whole sets. Pairs of classes already known to be connected are not worked
-out, which keeps large groups of near copies linear; so components are exact, but links are not counted.
+"""N-gram Jaccard join: a blocked sparse matrix product of documents by n-grams.
+
+Equal sets become one row of the incidence first, so copies are never paired. The product's first block holds each
+row's rarest n-grams, those that size bounds leave undecided; its columns say which entries can be other than too
+small, and size and position bounds discard entries there, as do parity sketches, which tell how far two sets differ
+at least. The entries left accumulate their overlap over blocks of
+the whole sets, and those below the bound of their sizes are discarded. Entries between classes already known to be
+connected are not worked out, which keeps large groups of near copies linear; so components are exact, but links are
+not counted. Sets are compared by 64-bit hashes of their n-grams.
 """
 
 from __future__ import annotations
@@ -13,61 +16,143 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, text_key
+from .common import Tables, durable, text_key
 
 WORDS, NUM, DEN = 5, 75, 100  # five words; intersection / union of at least 75 / 100
-ORDERED = 1 << 18  # common n-grams put last in the order; the order's length changes work only, never results
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+ORDERED = 1 << 20  # at most so many common n-grams are put last in the order, 16 MB; it changes work only, never results
+HOT = 200_000  # rows of a column, by the count of common n-grams, in one task; columns beyond are dealt to several
+BLOCK = 1 << 16  # n-grams of a set in one block of the product, in the mean
+NAMED = 24  # bits that pick out the rows whose whole sets are wanted; others that share them are dropped by a join
+SKETCH = 16  # longs of parity bits
+CHARS = 1 << 20  # of text hashed at once
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _M1
+    x = (x ^ (x >> np.uint64(29))) * _M2
+    return x ^ (x >> np.uint64(32))
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of lower-cased bytes, and where each one begins."""
+    a = np.frombuffer(raw, dtype=np.uint8)
+    live = np.zeros(len(a) + 2, dtype=bool)
+    live[1:-1] = ~_SPACE[a]
+    edges = np.flatnonzero(live[1:] != live[:-1])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), starts
+    power = np.cumprod(np.full(int(sizes.max()), _M1, dtype=np.uint64))
+    at = np.flatnonzero(live[1:-1])
+    place = at - np.repeat(starts, sizes)
+    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    return _mix(np.add.reduceat(_BYTES[a[at]] * power[place], first) + sizes.astype(np.uint64)), starts
+
+
+def _chain(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of that many words."""
+    acc = np.full(len(hashes) - width + 1, np.uint64(width))
+    for i in range(width):
+        acc = _mix(acc) + hashes[i : i + len(acc)]
+    return _mix(acc).view(np.int64)
+
+
+def _sorted_set(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
+def _of_words(words: np.ndarray) -> np.ndarray:
+    return _sorted_set(_chain(words, min(WORDS, len(words)))) if len(words) else np.zeros(0, dtype=np.int64)
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """A long text in pieces that end before a white space."""
+    begin = 0
+    while begin < len(raw):
+        end = begin + CHARS
+        while end < len(raw) and not _SPACE[raw[end]]:
+            end += 1
+        yield raw[begin:end]
+        begin = end
+
+
+def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """For each text its sorted distinct shingles as 64-bit hashes; none without words. Short texts are hashed together."""
+    raws, held = [], 0
+    for k, text in enumerate(texts):
+        raws.append((text or "").encode("utf-8", "surrogatepass").lower())
+        held += len(raws[-1]) + 1
+        if held < CHARS and k < len(texts) - 1:
+            continue
+        if held > 4 * CHARS:
+            yield from (_of_words(np.concatenate([np.zeros(0, np.uint64), *(word_hashes(p)[0] for p in _pieces(raw))])) for raw in raws)
+        else:
+            words, starts = word_hashes(b" ".join(raws))
+            ends = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raws]))
+            runs = _chain(words, WORDS) if len(words) >= WORDS else None
+            begin = 0
+            for end in ends.tolist():
+                yield _sorted_set(runs[begin : end - WORDS + 1]) if end - begin >= WORDS else _of_words(words[begin:end])
+                begin = end
+        raws, held = [], 0
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < 300_000:
-            self[word] = value
-        return value
+def shingles(text: str | None) -> np.ndarray:
+    return next(shingle_sets([text]))
 
 
-_words = _Words()
+def _digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles; none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    h = np.array([_words[w] for w in words], dtype=np.uint64)
-    width = min(WORDS, len(h))
-    acc = np.full(len(h) - width + 1, np.uint64(width))
-    for i in range(width):
-        acc = (acc ^ (acc >> np.uint64(29))) * _MULTIPLIER + h[i : i + len(acc)]
-    acc = (acc ^ (acc >> np.uint64(32))) * _MULTIPLIER
-    return np.unique((acc ^ (acc >> np.uint64(29))).view(np.int64))
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the number of n-grams in each of some buckets; two sets differ in at least as many n-grams as bits."""
+    odd = np.bincount((s >> 40) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _alike(na: str, nb: str) -> Column:
+    """Whether the sketches x0, x1, ... and y0, y1, ... leave room for the wanted overlap of sets of these sizes."""
+    apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))).cast("long") for i in range(1, SKETCH)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))).cast("long"))
+    return apart * (DEN + NUM) <= (F.col(na) + F.col(nb)) * (DEN - NUM)
 
 
-def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of documents (id, key, size, digest of the set), and of n-grams that several texts of a batch share."""
+def _sketches(nodes: DataFrame, node: str, side: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(node), *[F.col("sketch")[i].alias(f"{side}{i}") for i in range(SKETCH)])
+
+
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents (id, key, size, digest of the set), and of n-grams that two texts of a batch share."""
+    names = ["doc_id", "key", "n", "digest", "gram", "sketch"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
     for batch in batches:
-        sizes, digests, distinct = [], [], {}
-        for text in batch["text"]:
-            s = shingles(text if isinstance(text, str) else None)
-            d = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+        sizes, digests, distinct, held, sketches = [], [], {}, [], []
+        for s in shingle_sets(batch.column(2).to_pylist()):
+            d = _digest(s)
             sizes.append(len(s))
             digests.append(d)
-            if d:
-                distinct[d] = s
-        ids = pd.arrays.IntegerArray(batch["doc_id"].to_numpy(np.int64, copy=True), batch["no_id"].to_numpy(bool, copy=True))
-        yield pd.DataFrame({"doc_id": ids, "key": batch["key"].values, "n": sizes, "digest": digests, "gram": pd.array([None] * len(ids), dtype="Int64")})
-        if distinct:
-            grams, counts = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-            often = counts >= 4
-            k = int(often.sum())
-            if k:
-                yield pd.DataFrame({"doc_id": pd.array([None] * k, dtype="Int64"), "key": [None] * k, "n": counts[often], "digest": [None] * k, "gram": pd.array(grams[often], dtype="Int64")})
+            sketches.append(_sketch(s))
+            if d and d not in distinct:
+                distinct[d] = None
+                held.append(s)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, kinds[2]), pa.array(digests, kinds[3]), pa.nulls(len(sizes), kinds[4]), pa.array(sketches, kinds[5])], names)
+        if held:
+            grams = np.concatenate(held)
+            del held, distinct
+            grams.sort()
+            often = np.flatnonzero(grams[1:] == grams[:-1])
+            grams, counts = np.unique(grams[often], return_counts=True)
+            if k := len(grams):
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, kinds[0]), pa.nulls(k, kinds[1]), pa.array(counts + 1, kinds[2]), pa.nulls(k, kinds[3]), pa.array(grams, kinds[4]), pa.nulls(k, kinds[5])], names)
 
 
 def _components(pairs: DataFrame) -> DataFrame:
@@ -86,109 +171,200 @@ def _components(pairs: DataFrame) -> DataFrame:
         edges = new
 
 
-def _verified(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    """The cells (a, b) whose exact overlap reaches the bound."""
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
+def _first() -> Column:
+    """The row (doc_id, key) that leads a group: the smallest doc_id, null last, and of one id's texts the smallest key."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+
+
+def _name(doc_id: str, key: str) -> Column:
+    return F.xxhash64(F.col(doc_id), F.col(key))
 
-    @F.pandas_udf("boolean")
-    def linked(ga: pd.Series, gb: pd.Series) -> pd.Series:
+
+def _levels(n: int) -> int:
+    """A set of n n-grams has 2 to this power of blocks."""
+    return ((n - 1) // BLOCK).bit_length()
+
+
+def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, level, block and grams of the sets of wanted (node, name, digest), in blocks of hashes.
+
+    A set comes with the blocks of its own size and, where a larger partner would have more, with those too. A fixed
+    number of bits picks out the rows to send; what they let through beside is dropped by the join.
+    """
+    at = F.pmod("name", F.lit(1 << NAMED))
+    slices = wanted.select(F.shiftright(at, 15).alias("slice"), at.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("slice").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    bits = np.zeros((1 << (NAMED - 15), 4096), dtype=np.uint8)  # 2 MB, whatever the input
+    for r in slices:
+        bits[r["slice"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, dtype=np.uint8)
+        for batch in batches:
+            names = batch.column(0).to_numpy()
+            p = names & ((1 << NAMED) - 1)
+            rows = np.flatnonzero(bits[p >> 3] >> (p & 7).astype(np.uint8) & 1)
+            out = [[], [], [], [], []]
+            for i, s in zip(rows, shingle_sets(batch.column(1).take(pa.array(rows)).to_pylist()), strict=True):
+                digest = _digest(s)
+                for level in {_levels(len(s)), _levels(4 * len(s) // 3)} if digest else ():
+                    which = s >> (64 - level) if level else np.zeros(len(s), dtype=np.int64)
+                    edges = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1], [True])))
+                    for b, e in zip(edges[:-1], edges[1:], strict=True):
+                        for column, value in zip(out, (names[i], digest, level, which[b], s[b:e].tobytes()), strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["name", "digest", "level", "block", "grams"])
+
+    sets = docs.select(_name("doc_id", "key").alias("name"), "text").where(F.col("text").isNotNull()).mapInArrow(cut, "name long, digest binary, level int, block long, grams binary")
+    return sets.join(wanted, ["name", "digest"]).groupBy("node", "level", "block").agg(F.first("grams").alias("grams"))
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The entries (a, b, na, nb) whose overlap, summed over the blocks of the product, reaches the bound."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _blocks(docs, nodes.join(ends, "node").select("node", "name", "digest"))
+    level = F.greatest(F.floor((F.greatest("na", "nb") - 1) / BLOCK), F.lit(0)).cast("long")
+    cells = pairs.withColumn("level", F.when(level == 0, 0).otherwise(F.length(F.bin(level))).cast("int"))
+    left = sets.select(F.col("node").alias("a"), "level", "block", F.col("grams").alias("ga"))
+    right = sets.select(F.col("node").alias("b"), "level", "block", F.col("grams").alias("gb"))
+
+    product = cells.join(left, ["a", "level"]).join(right, ["b", "level", "block"]).select("a", "b", "na", "nb", _overlap("ga", "gb").alias("k"))
+    total = product.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
+    return total.where(F.col("k") * DEN >= (F.col("na") + F.col("nb") - F.col("k")) * NUM).select("a", "b")
+
+
+def _overlap(x: str, y: str) -> Column:
+    @F.pandas_udf("long")
+    def count(ga: pd.Series, gb: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(ga, gb, strict=True):
-            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-            both = np.concatenate((x, y))
+        for a, b in zip(ga, gb, strict=True):
+            both = np.concatenate((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)))
             both.sort(kind="stable")
-            k = int((both[1:] == both[:-1]).sum())
-            out.append(DEN * k >= NUM * (len(x) + len(y) - k))
-        return pd.Series(out)
+            out.append(int((both[1:] == both[:-1]).sum()))
+        return pd.Series(out, dtype="int64")
 
-    return cells.join(left, "a").join(right, "b").where(linked("ga", "gb")).select("a", "b")
+    return count(x, y)
 
 
-def _first() -> Column:
-    """The row (doc_id, key) that leads a group: the smallest doc_id, null last, and of one id's texts the smallest key."""
-    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (gram, part, parts, node, n, at), sorted by gram, part and node, of columns that hold more than one row.
+
+    Each goes with the column's first row (b, nb, atb). One row is held from a batch to the next.
+    """
+    names = ["gram", "part", "parts", "node", "n", "at", "b", "nb", "atb"]
+    lead, alone = None, False  # the running column's first row, and whether it has not been sent yet
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+        if not len(rows):
+            continue
+        if lead is not None:
+            rows = np.concatenate((lead[None], rows))
+        new = np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+        first = np.flatnonzero(new)
+        sizes = np.diff(np.append(first, len(rows)))
+        send = np.repeat((sizes > 1) | (rows[first, 2] > 1), sizes)
+        if sizes[-1] == 1:
+            send[-1] = False  # decided with the next batch
+        if lead is not None and not alone:
+            send[0] = False
+        led = rows[np.repeat(first, sizes)]
+        lead, alone = rows[first[-1]].copy(), bool(sizes[-1] == 1 and (len(first) > 1 or alone or lead is None))
+        if send.any():
+            out = np.concatenate((rows[send], led[send][:, 3:]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, k]) for k in range(len(names))], names)
+    if alone and lead[2] > 1:
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([x])) for x in (*lead, *lead[3:])], names)
+
+
+def _fits(na: str, nb: str, ia: str, ib: str) -> Column:
+    """Size bounds, and what can follow the first n-gram that two sets share."""
+    na, nb = F.col(na), F.col(nb)
+    most = F.least(na - F.col(ia), nb - F.col(ib))
+    return (na * DEN >= nb * NUM) & (nb * DEN >= na * NUM) & (most * (DEN + NUM) >= NUM * (na + nb))
 
 
 def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs (doc_id, n, digest of the set, or null without shingles), and of digests with the first row of their component.
+    """Rows of docs (doc_id, key, n, digest of the set, or null without shingles), and of digests with the first row of their component.
 
     A row is named by its doc_id and its text's key, never by doc_id alone, and a class by a number of its own.
     """
+    tables = Tables(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("key"))
-    seen = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text", "key")
-    profile = durable(seen.mapInPandas(_profile, "doc_id long, key binary, n long, digest binary, gram long"))
-    rows = profile.where(F.col("gram").isNull())
-    common = profile.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(ORDERED)
-    ranked = common.collect()  # at most ORDERED rows of two numbers
-    grams = np.array([r.gram for r in ranked], dtype=np.int64)
+    profile = tables.write("profile", docs.select("doc_id", "key", "text").mapInArrow(_profile, "doc_id long, key binary, n long, digest binary, gram long, sketch array<long>"))
+    rows = profile.where(F.col("gram").isNull()).select("doc_id", "key", "n", "digest", "sketch")
+    common = tables.write("common", profile.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("n").alias("n")))
+    # the counts from which on there are few enough, by eighths of an octave: at most some 500 rows
+    level = F.floor(F.log2("n") * 8).cast("int")
+    least, held = 0, 0
+    for r in sorted(common.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        held += r["k"]
+        if held > ORDERED:
+            least = r["level"] + 1
+            break
+    ranked = common.where(level >= least).orderBy(F.desc("n"), "gram").toArrow()
+    grams, n = ranked["gram"].to_numpy(), ranked["n"].to_numpy()
     by_gram = np.argsort(grams)
     shared = docs.sparkSession.sparkContext.broadcast((grams[by_gram], (len(grams) - by_gram).astype(np.int64)))
+    often = np.flatnonzero(n > HOT)
+    hot = docs.sparkSession.createDataFrame([(int(grams[i]), -(-int(n[i]) // HOT)) for i in often], "gram long, parts long")
 
-    reps = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(_first())
-    reps = durable(reps.select("digest", "first.doc_id", "first.key", F.monotonically_increasing_id().alias("node")))
-
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common_grams, places = shared.value
         for batch in batches:
-            ids, sizes, at, out = [], [], [], []
-            for doc, text in zip(batch["node"], batch["text"], strict=True):
-                s = shingles(text)
-                if not len(s):
+            digests, taken, seen = [], [], set()
+            for s in shingle_sets(batch.column(0).to_pylist()):
+                if not len(s) or (d := _digest(s)) in seen:
                     continue
+                seen.add(d)
                 order = np.zeros(len(s), dtype=np.int64)
                 if len(common_grams):
                     i = np.minimum(np.searchsorted(common_grams, s), len(common_grams) - 1)
                     order = np.where(common_grams[i] == s, places[i], 0)
                 take = len(s) + (-NUM * len(s)) // DEN + 1
-                p = s[np.argsort(order, kind="stable")[:take]]
-                ids.append(np.full(take, doc))
-                sizes.append(np.full(take, len(s), dtype=np.int32))
-                at.append(np.arange(take, dtype=np.int32))
-                out.append(p)
-            if ids:
-                yield pd.DataFrame({"node": np.concatenate(ids), "n": np.concatenate(sizes), "at": np.concatenate(at), "gram": np.concatenate(out)})
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "grams": [shingles(t).tobytes() for t in batch["text"]]})
-
-    texts = docs.where(F.col("text").isNotNull())
-    with_id, without = texts.where(F.col("doc_id").isNotNull()), texts.where(F.col("doc_id").isNull()).drop("doc_id").dropDuplicates(["key"])
-
-    def own(chosen: DataFrame) -> DataFrame:
-        """node and text of the classes chosen from reps, each by its first row."""
-        named = with_id.join(chosen.select("doc_id", "key", "node"), ["doc_id", "key"]).select("node", "text")
-        return named.union(without.join(chosen.where(F.col("doc_id").isNull()).select("key", "node"), "key").select("node", "text"))
-
-    rows_p = own(reps).mapInPandas(prefixes, "node long, n int, at int, gram long")
-    leaders = rows_p.groupBy("gram").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("gram", "b")
-    # the incidence, without columns of a single row
-    cells = durable(rows_p.join(leaders, "gram"))
-    sized = cells.groupBy("gram").agg(F.min_by("n", "node").alias("nb"))
-    fits = lambda a, b: (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
-    stars = cells.join(sized, "gram").where((F.col("node") != F.col("b")) & fits("n", "nb")).select(F.col("node").alias("a"), "b").distinct()
-    stars = durable(stars)
-    needed = stars.select("a").union(stars.select("b")).distinct().select(F.col("a").alias("node"))
-    sets = lambda nodes: own(reps.join(nodes, "node", "left_semi")).mapInPandas(whole, "node long, grams binary")
-    links = durable(_verified(stars, sets(needed)))
-    first = _components(links)
-
-    # the cells between classes that the stars have not connected
-    named = cells.join(first, "node", "left").select("gram", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+                digests.append(d)
+                taken.append(s[np.argsort(order, kind="stable")[:take]])
+            offsets = np.cumsum([0, *map(len, taken)]).astype(np.int32)
+            grams = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *taken])))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), grams], ["digest", "prefix"])
+
+    firsts = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(_first(), F.max("n").cast("int").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = firsts.select("digest", "first.doc_id", "first.key", "n", "sketch", _name("first.doc_id", "first.key").alias("name"))
+    nodes = tables.write("nodes", nodes.withColumn("node", F.monotonically_increasing_id()))
+    first_block = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(prefixes, "digest binary, prefix array<long>").dropDuplicates(["digest"])
+    cells = first_block.join(nodes.select("digest", "node", "n"), "digest").select("node", "n", F.posexplode("prefix").alias("at", "gram"))
+    cells = cells.join(F.broadcast(hot), "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))) if len(often) else cells.withColumn("parts", F.lit(1).cast("long"))
+    cells = cells.select("gram", F.pmod(F.xxhash64("node"), "parts").alias("part"), "parts", "node", "n", "at")
+    cells = cells.repartition("gram", "part").sortWithinPartitions("gram", "part", "node")
+    columns = tables.write("columns", cells.mapInArrow(_columns, "gram long, part long, parts long, node long, n long, at long, b long, nb long, atb long"))
+
+    led = columns.where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), "b", "nb", F.col("atb").alias("ib"))
+    heads = columns.where(F.col("parts") > 1).select("gram", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("atb").alias("ia")).distinct()
+    over = heads.groupBy("gram").agg(F.min(F.struct("a", "na", "ia")).alias("m")).select("gram", F.col("m.a").alias("b"), F.col("m.na").alias("nb"), F.col("m.ia").alias("ib"))
+    led = led.union(heads.join(over, "gram").where(F.col("a") != F.col("b")).select("a", "na", "ia", "b", "nb", "ib"))
+    stars = tables.write("stars", led.where(_fits("na", "nb", "ia", "ib")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") > F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct())
+    near = stars.join(_sketches(nodes, "a", "x"), "a").join(_sketches(nodes, "b", "y"), "b").where(_alike("na", "nb")).select("a", "b", "na", "nb")
+    links = tables.write("links", _linked(tables.write("near", near), docs, nodes))
+    roots = tables.write("roots", _components(links))
+
+    # the entries between classes that the stars have not connected
+    named = columns.join(roots, "node", "left").select("gram", "node", "n", "at", F.coalesce("root", "node").alias("root"))
     split = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
-    open_cells = durable(named.join(split, "gram"))
-    x = open_cells.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("root").alias("ra"))
-    y = open_cells.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("root").alias("rb"))
-    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    rest = x.join(y, "gram").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & fits("na", "nb") & (most * (DEN + NUM) >= NUM * (F.col("na") + F.col("nb")))).select("a", "b").distinct()
-    rest = durable(rest.join(stars, ["a", "b"], "left_anti"))
-    needed2 = rest.select("a").union(rest.select("b")).distinct().select(F.col("a").alias("node"))
-    more = durable(_verified(rest, sets(needed2)))
-    roots = _components(links.union(more)) if not more.isEmpty() else first
-
-    of_class = durable(reps.join(roots, "node", "left").select("digest", "doc_id", "key", F.coalesce("root", "node").alias("root")))
-    return rows, of_class.select("digest", "root").join(of_class.groupBy("root").agg(_first()), "root").select("digest", "first")
+    open_cells = named.join(split, "gram").join(_sketches(nodes, "node", "x"), "node")
+    bits = [f"x{i}" for i in range(SKETCH)]
+    x = open_cells.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("root").alias("ra"), *bits)
+    y = open_cells.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("root").alias("rb"), *[F.col(c).alias(c.replace("x", "y")) for c in bits])
+    rest = x.join(y, "gram").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & _fits("na", "nb", "ia", "ib") & _alike("na", "nb")).select("a", "b", "na", "nb").distinct()
+    rest = tables.write("rest", rest.join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+    more = tables.write("more", _linked(rest, docs, nodes))
+    if not more.isEmpty():
+        roots = _components(links.union(more))
+
+    of_class = tables.write("classes", nodes.join(roots, "node", "left").select("digest", "doc_id", "key", F.coalesce("root", "node").alias("root")))
+    firsts = of_class.groupBy("root").agg(_first())
+    found = tables.write("found", of_class.select("digest", "root").join(firsts, "root").select("digest", "first"))
+    for name in ("common", "nodes", "columns", "stars", "near", "links", "roots", "rest", "more", "classes"):
+        tables.drop(name)
+    return rows.drop("sketch"), found
 
 
 def classes(docs: DataFrame) -> DataFrame:
