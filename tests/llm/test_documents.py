@@ -210,6 +210,10 @@ def test_rows_without_an_id_of_their_own(spark):
     rows = [(None, text(1)), (None, text(1)), (None, near), (None, text(2)), (None, text(3)), (7, text(3)), (7, text(4)), (7, text(5)), (7, text(5)), (big, text(6)), (None, ""), (None, None), (None, None), (8, None), (8, None), (8, " ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     kept = sorted(map(str, ((r.doc_id, r.text) for r in jaccard.keep_one(docs).collect())))
+    clash = docs.selectExpr("doc_id", "text", "'k' AS key", "1 AS row", "2 AS alone", "true AS is_first", "'n' AS _key")
+    assert sorted(map(str, ((r.doc_id, r.text) for r in jaccard.keep_one(clash).collect()))) == kept and jaccard.keep_one(clash).columns == clash.columns
+    bench = spark.createDataFrame([("i", text(6))], "item_id string, text string")
+    assert decontam.clean(clash, bench).columns == clash.columns and decontam.clean(clash, bench).count() == len(rows) - 1
     alone = [(None, ""), (None, None), (None, None), (8, None), (8, " ")]
     one = [(None, text(2)), (7, text(3)), (7, text(4)), (7, text(5)), (big, text(6))]
     assert kept in [sorted(map(str, [*alone, *one, (None, t)])) for t in (text(1), near)]

@@ -190,5 +190,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows. The verdict rests on the text alone and follows it, whatever a row's id is."""
-    bad = _judged(occurrences(docs, benchmark)).where("contaminated").select(text_key().alias("_key")).distinct()
-    return docs.withColumn("_key", text_key()).join(bad, "_key", "left_anti").select(docs.columns)
+    bad = _judged(occurrences(docs, benchmark)).where("contaminated").select(text_key().alias("key")).distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(whole, text_key().alias("key")).join(bad, "key", "left_anti").select("row.*")

@@ -24,6 +24,7 @@ from .common import Tables, durable, text_key
 
 WORDS, NUM, DEN = 5, 75, 100  # five words; intersection / union of at least 75 / 100
 ORDERED = 1 << 20  # at most so many common n-grams are put last in the order, 16 MB; it changes work only, never results
+COMMON, COUNTED = 3, 1 << 22  # sets that make an n-gram common; n-grams that one task counts, about
 HOT = 200_000  # rows of a column, by the count of common n-grams, in one task; columns beyond are dealt to several
 BLOCK = 1 << 16  # n-grams of a set in one block of the product, in the mean
 NAMED = 24  # bits that pick out the rows whose whole sets are wanted; others that share them are dropped by a join
@@ -131,33 +132,58 @@ def _sketches(nodes: DataFrame, node: str, side: str) -> DataFrame:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (id, key, size, digest of the set), and of n-grams that two texts of a batch share."""
-    names = ["doc_id", "key", "n", "digest", "gram", "sketch"]
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
+    """Rows of documents: id, key, size, digest and sketch of the set."""
     for batch in batches:
-        sizes, digests, distinct, held, sketches = [], [], {}, [], []
+        sizes, digests, sketches = [], [], []
         for s in shingle_sets(batch.column(2).to_pylist()):
-            d = _digest(s)
             sizes.append(len(s))
-            digests.append(d)
+            digests.append(_digest(s))
             sketches.append(_sketch(s))
-            if d and d not in distinct:
-                distinct[d] = None
-                held.append(s)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, kinds[2]), pa.array(digests, kinds[3]), pa.nulls(len(sizes), kinds[4]), pa.array(sketches, kinds[5])], names)
-        if held:
-            grams = np.concatenate(held)
-            del held, distinct
-            grams.sort()
-            often = np.flatnonzero(grams[1:] == grams[:-1])
-            grams, counts = np.unique(grams[often], return_counts=True)
-            if k := len(grams):
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, kinds[0]), pa.nulls(k, kinds[1]), pa.array(counts + 1, kinds[2]), pa.nulls(k, kinds[3]), pa.array(grams, kinds[4]), pa.nulls(k, kinds[5])], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "key", "n", "digest", "sketch"])
+
+
+def _common(docs: DataFrame, total: int) -> DataFrame:
+    """value, n: the first 32 bits of n-grams that COMMON or more sets of a batch of documents share, counted over all.
+
+    A task sends its n-grams as sorted runs of differences, two bytes each, one run for each block of values; there are
+    as many blocks as keep each one's n-grams, all documents', within some COUNTED.
+    """
+    bits = max(4, (total // COUNTED).bit_length())
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, held = set(), []
+            for s in shingle_sets(batch.column(0).to_pylist()):
+                if (d := _digest(s)) and d not in seen:
+                    seen.add(d)
+                    held.append((s.view(np.uint64) >> np.uint64(32)).astype(np.uint32))
+            if not held:
+                continue
+            values = np.sort(np.concatenate(held))
+            edges = np.searchsorted(values, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32 - bits))
+            blocks, runs = [], []
+            for k in np.flatnonzero(np.diff(edges)):
+                steps = np.diff(values[edges[k] : edges[k + 1]], prepend=np.uint32(k << (32 - bits)))
+                narrow = int(steps.max()) < 1 << 16
+                blocks.append(int(k))
+                runs.append((b"2" if narrow else b"4") + steps.astype(np.uint16 if narrow else np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(runs, pa.binary())], ["block", "run"])
+
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        start = int(key[0]) << (32 - bits)
+        parts = [np.cumsum(np.frombuffer(r, np.uint16 if r[:1] == b"2" else np.uint32, offset=1), dtype=np.int64) + start for r in rows["run"]]
+        values, n = np.unique(np.concatenate(parts), return_counts=True)
+        often = n >= COMMON
+        return pd.DataFrame({"value": values[often], "n": n[often]})
+
+    runs_of = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(runs, "block long, run binary")
+    return runs_of.groupBy("block").applyInPandas(count, "value long, n long")
 
 
 def _components(pairs: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over pairs (a, b), by alternating large and small stars."""
-    edges = durable(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = lambda edges: edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    edges, before = durable(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -165,10 +191,10 @@ def _components(pairs: DataFrame) -> DataFrame:
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low2, "a")
         small = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b")))
-        new = durable(small.where("a > b").distinct())
-        if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
-            return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        edges = new
+        edges = durable(small.where("a > b").distinct())
+        if (now := mark(edges)) == before:  # stars that a round leaves as they are
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before = now
 
 
 def _first() -> Column:
@@ -290,9 +316,8 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     tables = Tables(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("key"))
-    profile = tables.write("profile", docs.select("doc_id", "key", "text").mapInArrow(_profile, "doc_id long, key binary, n long, digest binary, gram long, sketch array<long>"))
-    rows = profile.where(F.col("gram").isNull()).select("doc_id", "key", "n", "digest", "sketch")
-    common = tables.write("common", profile.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("n").alias("n")))
+    rows = tables.write("rows", docs.select("doc_id", "key", "text").mapInArrow(_profile, "doc_id long, key binary, n long, digest binary, sketch array<long>"))
+    common = tables.write("common", _common(docs, rows.agg(F.sum("n")).first()[0] or 0))
     # the counts from which on there are few enough, by eighths of an octave: at most some 500 rows
     level = F.floor(F.log2("n") * 8).cast("int")
     least, held = 0, 0
@@ -301,25 +326,28 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if held > ORDERED:
             least = r["level"] + 1
             break
-    ranked = common.where(level >= least).orderBy(F.desc("n"), "gram").toArrow()
-    grams, n = ranked["gram"].to_numpy(), ranked["n"].to_numpy()
-    by_gram = np.argsort(grams)
-    shared = docs.sparkSession.sparkContext.broadcast((grams[by_gram], (len(grams) - by_gram).astype(np.int64)))
+    ranked = common.where(level >= least).toArrow()
+    values, n = ranked["value"].to_numpy(), ranked["n"].to_numpy()
+    order = np.lexsort((values, n))  # the most common last
+    values, n = values[order], n[order]
+    by_value = np.argsort(values)
+    shared = docs.sparkSession.sparkContext.broadcast((values[by_value].astype(np.uint32), (by_value + 1).astype(np.int32)))
     often = np.flatnonzero(n > HOT)
-    hot = docs.sparkSession.createDataFrame([(int(grams[i]), -(-int(n[i]) // HOT)) for i in often], "gram long, parts long")
+    hot = docs.sparkSession.createDataFrame([(int(values[i]), -(-int(n[i]) // HOT)) for i in often], "value long, parts long")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common_grams, places = shared.value
+        known, places = shared.value
         for batch in batches:
             digests, taken, seen = [], [], set()
             for s in shingle_sets(batch.column(0).to_pylist()):
                 if not len(s) or (d := _digest(s)) in seen:
                     continue
                 seen.add(d)
-                order = np.zeros(len(s), dtype=np.int64)
-                if len(common_grams):
-                    i = np.minimum(np.searchsorted(common_grams, s), len(common_grams) - 1)
-                    order = np.where(common_grams[i] == s, places[i], 0)
+                value = (s.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+                order = np.zeros(len(s), dtype=np.int32)
+                if len(known):
+                    i = np.minimum(np.searchsorted(known, value), len(known) - 1)
+                    order = np.where(known[i] == value, places[i], 0)
                 take = len(s) + (-NUM * len(s)) // DEN + 1
                 digests.append(d)
                 taken.append(s[np.argsort(order, kind="stable")[:take]])
@@ -332,7 +360,8 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = tables.write("nodes", nodes.withColumn("node", F.monotonically_increasing_id()))
     first_block = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(prefixes, "digest binary, prefix array<long>").dropDuplicates(["digest"])
     cells = first_block.join(nodes.select("digest", "node", "n"), "digest").select("node", "n", F.posexplode("prefix").alias("at", "gram"))
-    cells = cells.join(F.broadcast(hot), "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))) if len(often) else cells.withColumn("parts", F.lit(1).cast("long"))
+    top = F.shiftrightunsigned("gram", 32)
+    cells = cells.withColumn("value", top).join(F.broadcast(hot), "value", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))) if len(often) else cells.withColumn("parts", F.lit(1).cast("long"))
     cells = cells.select("gram", F.pmod(F.xxhash64("node"), "parts").alias("part"), "parts", "node", "n", "at")
     cells = cells.repartition("gram", "part").sortWithinPartitions("gram", "part", "node")
     columns = tables.write("columns", cells.mapInArrow(_columns, "gram long, part long, parts long, node long, n long, at long, b long, nb long, atb long"))
@@ -356,13 +385,17 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = x.join(y, "gram").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & _fits("na", "nb", "ia", "ib") & _alike("na", "nb")).select("a", "b", "na", "nb").distinct()
     rest = tables.write("rest", rest.join(stars.select("a", "b"), ["a", "b"], "left_anti"))
     more = tables.write("more", _linked(rest, docs, nodes))
-    if not more.isEmpty():
-        roots = _components(links.union(more))
+    if not more.isEmpty():  # joins whole components: their roots are the nodes
+        ours = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+        between = more.join(ours("a"), "a", "left").join(ours("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
+        above = tables.write("above", _components(between))
+        inside = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        roots = inside.union(above.join(roots.select("node"), "node", "left_anti"))
 
     of_class = tables.write("classes", nodes.join(roots, "node", "left").select("digest", "doc_id", "key", F.coalesce("root", "node").alias("root")))
     firsts = of_class.groupBy("root").agg(_first())
     found = tables.write("found", of_class.select("digest", "root").join(firsts, "root").select("digest", "first"))
-    for name in ("common", "nodes", "columns", "stars", "near", "links", "roots", "rest", "more", "classes"):
+    for name in ("common", "above", "nodes", "columns", "stars", "near", "links", "roots", "rest", "more", "classes"):
         tables.drop(name)
     return rows.drop("sketch"), found
 
@@ -386,9 +419,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows with that doc_id and the same text one stays. Texts without words stand alone: all of them stay, but for
     repeats of a text under one id; a null id tells of no repeat.
     """
-    names = docs.columns
-    first = _components_of(docs)[1].select(F.col("first.doc_id").alias("_first_id"), F.col("first.key").alias("_key")).distinct()
+    first = _components_of(docs)[1].select(F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("key"), F.lit(True).alias("is_first")).distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no column of docs can clash with those below
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
-    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": text_key(), "_row": F.when(wordless & F.col("doc_id").isNull(), F.monotonically_increasing_id())})
-    kept = marked.join(first.withColumn("_first", F.lit(True)), "_key", "left").where(wordless | (F.col("_first") & F.col("_id").eqNullSafe(F.col("_first_id"))))
-    return kept.dropDuplicates(["_id", "_key", "_row"]).select(names)
+    marked = docs.select(whole, F.col("doc_id").cast("long").alias("id"), text_key().alias("key"), wordless.alias("wordless"))
+    marked = marked.withColumn("alone", F.when(F.col("wordless") & F.col("id").isNull(), F.monotonically_increasing_id()))
+    kept = marked.join(first, "key", "left").where(F.col("wordless") | (F.col("is_first") & F.col("id").eqNullSafe(F.col("first_id"))))
+    return kept.dropDuplicates(["id", "key", "alone"]).select("row.*")
