@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CACHE_WORDS, CACHE_CHARS = 200_000, 4_000_000  # what one task remembers of pre-tokens; the rest is encoded anew
 GROUP_CHARS = 2_000_000  # of text whose new pre-tokens are encoded at once; a longer text goes in parts of that size
@@ -268,13 +270,6 @@ def groups(texts: list[str | None], size: int = GROUP_CHARS) -> Iterator[tuple[i
             begin, held = i + 1, 0
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Batches of fewer rows, so that few rows at a time are Python objects."""
-    for batch in batches:
-        for begin in range(0, batch.num_rows, rows):
-            yield batch.slice(begin, rows)
-
-
 def _encoder(docs: DataFrame, tokenizer_path: str, with_ids: bool) -> DataFrame:
     spec = shared_spec(docs, tokenizer_path)
 

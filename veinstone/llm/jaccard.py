@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, durable, text_key
+from .common import Tables, durable, slices, text_key
 
 WORDS, NUM, DEN = 5, 75, 100  # five words; intersection / union of at least 75 / 100
 ORDERED = 1 << 20  # at most so many common n-grams are put last in the order, 16 MB; it changes work only, never results
@@ -133,7 +133,7 @@ def _sketches(nodes: DataFrame, node: str, side: str) -> DataFrame:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents: id, key, size, digest and sketch of the set."""
-    for batch in batches:
+    for batch in slices(batches):
         sizes, digests, sketches = [], [], []
         for s in shingle_sets(batch.column(2).to_pylist()):
             sizes.append(len(s))
@@ -151,7 +151,7 @@ def _common(docs: DataFrame, total: int) -> DataFrame:
     bits = max(4, (total // COUNTED).bit_length())
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4096):
             seen, held = set(), []
             for s in shingle_sets(batch.column(0).to_pylist()):
                 if (d := _digest(s)) and d not in seen:
@@ -218,15 +218,15 @@ def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     number of bits picks out the rows to send; what they let through beside is dropped by the join.
     """
     at = F.pmod("name", F.lit(1 << NAMED))
-    slices = wanted.select(F.shiftright(at, 15).alias("slice"), at.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("slice").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    marked = wanted.select(F.shiftright(at, 15).alias("slice"), at.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("slice").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     bits = np.zeros((1 << (NAMED - 15), 4096), dtype=np.uint8)  # 2 MB, whatever the input
-    for r in slices:
+    for r in marked:
         bits[r["slice"]] = np.frombuffer(r["bits"], dtype=np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, dtype=np.uint8)
-        for batch in batches:
+        for batch in slices(batches):
             names = batch.column(0).to_numpy()
             p = names & ((1 << NAMED) - 1)
             rows = np.flatnonzero(bits[p >> 3] >> (p & 7).astype(np.uint8) & 1)
@@ -237,11 +237,13 @@ def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     which = s >> (64 - level) if level else np.zeros(len(s), dtype=np.int64)
                     edges = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1], [True])))
                     for b, e in zip(edges[:-1], edges[1:], strict=True):
-                        for column, value in zip(out, (names[i], digest, level, which[b], s[b:e].tobytes()), strict=True):
+                        for column, value in zip(out, (names[i], digest, level, which[b], s[b:e]), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["name", "digest", "level", "block", "grams"])
+            *rest, grams = out
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, grams)]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *grams])))
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(rest, (pa.int64(), pa.binary(), pa.int32(), pa.int64()), strict=True)], lists], ["name", "digest", "level", "block", "grams"])
 
-    sets = docs.select(_name("doc_id", "key").alias("name"), "text").where(F.col("text").isNotNull()).mapInArrow(cut, "name long, digest binary, level int, block long, grams binary")
+    sets = docs.select(_name("doc_id", "key").alias("name"), "text").where(F.col("text").isNotNull()).mapInArrow(cut, "name long, digest binary, level int, block long, grams array<long>")
     return sets.join(wanted, ["name", "digest"]).groupBy("node", "level", "block").agg(F.first("grams").alias("grams"))
 
 
@@ -254,24 +256,11 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), "level", "block", F.col("grams").alias("ga"))
     right = sets.select(F.col("node").alias("b"), "level", "block", F.col("grams").alias("gb"))
 
-    product = cells.join(left, ["a", "level"]).join(right, ["b", "level", "block"]).select("a", "b", "na", "nb", _overlap("ga", "gb").alias("k"))
+    product = cells.join(left, ["a", "level"]).join(right, ["b", "level", "block"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("k"))
     total = product.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
     return total.where(F.col("k") * DEN >= (F.col("na") + F.col("nb") - F.col("k")) * NUM).select("a", "b")
 
 
-def _overlap(x: str, y: str) -> Column:
-    @F.pandas_udf("long")
-    def count(ga: pd.Series, gb: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(ga, gb, strict=True):
-            both = np.concatenate((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)))
-            both.sort(kind="stable")
-            out.append(int((both[1:] == both[:-1]).sum()))
-        return pd.Series(out, dtype="int64")
-
-    return count(x, y)
-
-
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (gram, part, parts, node, n, at), sorted by gram, part and node, of columns that hold more than one row.
 
@@ -337,7 +326,7 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, places = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             digests, taken, seen = [], [], set()
             for s in shingle_sets(batch.column(0).to_pylist()):
                 if not len(s) or (d := _digest(s)) in seen:

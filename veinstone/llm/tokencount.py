@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import slices
 
 SLOT = 32  # leaves in a slot when a tree is laid out; at four times as many the slots are laid out anew
 CACHE = 150_000  # leaves and pre-tokens that a task remembers the count of
@@ -198,7 +199,7 @@ def build(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(bpe.codec(spec.value))
-        for batch in bpe.slices(batches):
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             for begin, end in bpe.groups(texts):
                 split = [leaves(t or "") for t in texts[begin:end]]
@@ -225,7 +226,7 @@ def edit(trees: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(bpe.codec(spec.value))
-        for batch in bpe.slices(batches, 256):
+        for batch in slices(batches, 256):
             rows = {k: [] for k in ("text", "leaf_chars", "leaf_tokens", "n_tokens_before", "n_tokens", "n_chars", "n_encoded_chars")}
             for text, sizes, tokens, log in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3, 4)], strict=True):
                 tree = CountTree(text or "", counts, sizes, tokens)
