@@ -60,18 +60,18 @@ def postings(chunks: DataFrame, max_df: int = MAX_DF) -> DataFrame:
 
 
 def lexical_scores(pool: DataFrame, terms: list[str]) -> DataFrame:
-    """pool with lexical: squared-IDF share of the terms in text and path, over the pool's own frequencies.
+    """pool's columns but for its text, with lexical: squared-IDF share of the terms in text and path, over the pool's own frequencies.
 
-    Hits are looked for once and written with the pool, so that totals and scores read bits instead of texts.
+    Hits are looked for once and written without the texts, so that totals and scores read a few bits for each row.
     """
     hit = lambda c, t: F.coalesce(F.lower(c).rlike(rf"(?<![a-z0-9]){''.join(chr(92) + x if not x.isalnum() else x for x in t)}(?![a-z0-9])"), F.lit(False)).cast("int")
-    marked = written(pool.withColumns({f"_{k}{i}": hit(c, t) for i, t in enumerate(terms) for k, c in (("b", "text"), ("p", "path"))}))
+    marked = written(pool.withColumns({f"_{k}{i}": hit(c, t) for i, t in enumerate(terms) for k, c in (("b", "text"), ("p", "path"))}).drop("text"))
     totals = marked.agg(F.count("*").alias("_n"), *[F.sum(F.col(f"_b{i}") + F.col(f"_p{i}")).alias(f"_f{i}") for i in range(len(terms))]).first()  # one row
     w = [F.lit(math.log((totals["_n"] + 1) / (totals[f"_f{i}"] + 0.5)) ** IDF_POWER if totals["_n"] else 0.0) for i in range(len(terms))]
     total = reduce(lambda a, b: a + b, w)
     part = lambda k: reduce(lambda a, b: a + b, [w[i] * F.col(f"_{k}{i}") for i in range(len(terms))]) / total
     score = F.when(total <= 1e-9, 0.0).otherwise(F.least(F.lit(1.0), BODY * part("b") + PATH * part("p")))
-    return marked.withColumn("lexical", score).select(*pool.columns, "lexical")
+    return marked.withColumn("lexical", score).select(*[c for c in pool.columns if c != "text"], "lexical")
 
 
 def fuse(dense: Column, lexical: Column, weight: float = LEXICAL_WEIGHT) -> Column:
