@@ -142,18 +142,22 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "key", "n", "digest", "sketch"])
 
 
-def _common(docs: DataFrame, total: int) -> DataFrame:
-    """value, n: the first 32 bits of n-grams that COMMON or more sets of a batch of documents share, counted over all.
+def _common(docs: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+    """value, n: the first 32 bits of n-grams that COMMON or more classes share.
+
+    Copies are left out by the bits of their classes' first rows; where many rows share these bits some copies count.
 
     A task sends its n-grams as sorted runs of differences, two bytes each, one run for each block of values; there are
     as many blocks as keep each one's n-grams, all documents', within some COUNTED.
     """
     bits = max(4, (total // COUNTED).bit_length())
+    firsts = docs.sparkSession.sparkContext.broadcast(_bits(nodes))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
             seen, held = set(), []
-            for s in shingle_sets(batch.column(0).to_pylist()):
+            chosen = _chosen(np.frombuffer(firsts.value, dtype=np.uint8), batch.column(0).to_numpy())
+            for s in shingle_sets(batch.column(1).take(pa.array(chosen)).to_pylist()):
                 if (d := _digest(s)) and d not in seen:
                     seen.add(d)
                     held.append((s.view(np.uint64) >> np.uint64(32)).astype(np.uint32))
@@ -176,7 +180,7 @@ def _common(docs: DataFrame, total: int) -> DataFrame:
         often = n >= COMMON
         return pd.DataFrame({"value": values[often], "n": n[often]})
 
-    runs_of = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(runs, "block long, run binary")
+    runs_of = docs.select(_name("doc_id", "key").alias("name"), "text").where(F.col("text").isNotNull()).mapInArrow(runs, "block long, run binary")
     return runs_of.groupBy("block").applyInPandas(count, "value long, n long")
 
 
@@ -206,6 +210,22 @@ def _name(doc_id: str, key: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.col(key))
 
 
+def _bits(wanted: DataFrame) -> bytes:
+    """A fixed number of bits, 2 MB, in which the names of wanted rows are set."""
+    at = F.pmod("name", F.lit(1 << NAMED))
+    marked = wanted.select(F.shiftright(at, 15).alias("slice"), at.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("slice").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    bits = np.zeros((1 << (NAMED - 15), 4096), dtype=np.uint8)  # 2 MB, whatever the input
+    for r in marked:
+        bits[r["slice"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return bits.tobytes()
+
+
+def _chosen(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The places of names whose bit is set."""
+    p = names & ((1 << NAMED) - 1)
+    return np.flatnonzero(bits[p >> 3] >> (p & 7).astype(np.uint8) & 1)
+
+
 def _levels(n: int) -> int:
     """A set of n n-grams has 2 to this power of blocks."""
     return ((n - 1) // BLOCK).bit_length()
@@ -217,19 +237,13 @@ def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     A set comes with the blocks of its own size and, where a larger partner would have more, with those too. A fixed
     number of bits picks out the rows to send; what they let through beside is dropped by the join.
     """
-    at = F.pmod("name", F.lit(1 << NAMED))
-    marked = wanted.select(F.shiftright(at, 15).alias("slice"), at.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("slice").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    bits = np.zeros((1 << (NAMED - 15), 4096), dtype=np.uint8)  # 2 MB, whatever the input
-    for r in marked:
-        bits[r["slice"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(wanted))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in slices(batches):
             names = batch.column(0).to_numpy()
-            p = names & ((1 << NAMED) - 1)
-            rows = np.flatnonzero(bits[p >> 3] >> (p & 7).astype(np.uint8) & 1)
+            rows = _chosen(bits, names)
             out = [[], [], [], [], []]
             for i, s in zip(rows, shingle_sets(batch.column(1).take(pa.array(rows)).to_pylist()), strict=True):
                 digest = _digest(s)
@@ -306,7 +320,10 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tables = Tables(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("key"))
     rows = tables.write("rows", docs.select("doc_id", "key", "text").mapInArrow(_profile, "doc_id long, key binary, n long, digest binary, sketch array<long>"))
-    common = tables.write("common", _common(docs, rows.agg(F.sum("n")).first()[0] or 0))
+    firsts = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(_first(), F.max("n").cast("int").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = firsts.select("digest", "first.doc_id", "first.key", "n", "sketch", _name("first.doc_id", "first.key").alias("name"))
+    nodes = tables.write("nodes", nodes.withColumn("node", F.monotonically_increasing_id()))
+    common = tables.write("common", _common(docs, nodes, nodes.agg(F.sum("n")).first()[0] or 0))
     # the counts from which on there are few enough, by eighths of an octave: at most some 500 rows
     level = F.floor(F.log2("n") * 8).cast("int")
     least, held = 0, 0
@@ -344,9 +361,6 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             grams = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *taken])))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), grams], ["digest", "prefix"])
 
-    firsts = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(_first(), F.max("n").cast("int").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = firsts.select("digest", "first.doc_id", "first.key", "n", "sketch", _name("first.doc_id", "first.key").alias("name"))
-    nodes = tables.write("nodes", nodes.withColumn("node", F.monotonically_increasing_id()))
     first_block = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(prefixes, "digest binary, prefix array<long>").dropDuplicates(["digest"])
     cells = first_block.join(nodes.select("digest", "node", "n"), "digest").select("node", "n", F.posexplode("prefix").alias("at", "gram"))
     top = F.shiftrightunsigned("gram", 32)
