@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, htmltext, jaccard, langid, licenses, nearest, secrets, tokencount
+from . import bpe, chat, crosstok, decontam, htmltext, jaccard, langid, licenses, nearest, secrets, tokencount
 from .common import table
 
 
@@ -65,9 +65,16 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return crosstok.scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest, "op2_language_id": op2_language_id, "op3_bpe": op3_bpe, "op4_decontamination": op4_decontamination, "op5_token_counts": op5_token_counts,
     "op6_chat_format": op6_chat_format, "op7_html_extraction": op7_html_extraction, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_license_scan": op9_license_scan, "op10_secret_scan": op10_secret_scan,
+    "op11_cross_tokenizer": op11_cross_tokenizer,
 }
 SQL: dict[str, str] = {
     "op6_chat_format": r"""
