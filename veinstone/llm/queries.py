@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, crosstok, decontam, htmltext, jaccard, langid, licenses, nearest, secrets, tokencount
+from . import audit, bpe, chat, crosstok, decontam, htmltext, jaccard, langid, licenses, nearest, secrets, tokencount
 from .common import table
 
 
@@ -71,10 +71,14 @@ def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosstok.scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest, "op2_language_id": op2_language_id, "op3_bpe": op3_bpe, "op4_decontamination": op4_decontamination, "op5_token_counts": op5_token_counts,
     "op6_chat_format": op6_chat_format, "op7_html_extraction": op7_html_extraction, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_license_scan": op9_license_scan, "op10_secret_scan": op10_secret_scan,
-    "op11_cross_tokenizer": op11_cross_tokenizer,
+    "op11_cross_tokenizer": op11_cross_tokenizer, "op12_filter_audit": op12_filter_audit,
 }
 SQL: dict[str, str] = {
     "op6_chat_format": r"""
@@ -86,4 +90,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length(role) + length(text) + (len(role || text) - len(translate(role || text, '\<>', ''))) + 16) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id""",
     "op9_license_scan": licenses.sql(),
+    "op12_filter_audit": audit.sql(),
 }
