@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, chat, crosstok, decontam, htmltext, jaccard, langid, licenses, nearest, secrets, tokencount
+from . import audit, bpe, chat, crosstok, decontam, htmltext, jaccard, langid, lcparse, licenses, nearest, secrets, tokencount
 from .common import table
 
 
@@ -75,10 +75,14 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lcparse.compare(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest, "op2_language_id": op2_language_id, "op3_bpe": op3_bpe, "op4_decontamination": op4_decontamination, "op5_token_counts": op5_token_counts,
     "op6_chat_format": op6_chat_format, "op7_html_extraction": op7_html_extraction, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_license_scan": op9_license_scan, "op10_secret_scan": op10_secret_scan,
-    "op11_cross_tokenizer": op11_cross_tokenizer, "op12_filter_audit": op12_filter_audit,
+    "op11_cross_tokenizer": op11_cross_tokenizer, "op12_filter_audit": op12_filter_audit, "op13_fingerprints": op13_fingerprints,
 }
 SQL: dict[str, str] = {
     "op6_chat_format": r"""
