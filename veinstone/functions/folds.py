@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,14 +20,45 @@ _TOKEN = re.compile(r"[a-z0-9][a-z0-9._+:-]*")
 _HANZI = re.compile("[一-鿿]{2,}")
 
 
+def _crc_table() -> np.ndarray:
+    """CRC-32 of each single byte, before the last inversion."""
+    x = np.arange(256, dtype=np.uint64)
+    for _ in range(8):
+        x = (x >> np.uint64(1)) ^ np.where(x & np.uint64(1), np.uint64(0xEDB88320), np.uint64(0))
+    return x
+
+
+_CRC = _crc_table()
+
+
+def _gram_hashes(raw: np.ndarray) -> np.ndarray:
+    """CRC-32 and Adler-32 of every gram of a text's UTF-8 bytes as one number, byte by byte over all grams at once."""
+    starts = np.flatnonzero((raw & 0xC0) != 0x80)
+    n = len(starts) - GRAM + 1
+    begin, sizes = starts[:n], np.append(starts, len(raw))[GRAM : GRAM + n] - starts[:n]
+    crc, a, b = np.full(n, 0xFFFFFFFF, dtype=np.uint64), np.ones(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+    for k in range(int(sizes.max())):
+        live = k < sizes
+        byte = np.where(live, raw[np.minimum(begin + k, len(raw) - 1)], 0).astype(np.uint64)
+        crc = np.where(live, _CRC[(crc ^ byte) & np.uint64(255)] ^ (crc >> np.uint64(8)), crc)
+        a += byte
+        b += np.where(live, a, 0).astype(np.uint64)
+    return ((crc ^ np.uint64(0xFFFFFFFF)) << np.uint64(32) | (b % np.uint64(65521)) << np.uint64(16) | a % np.uint64(65521)) % np.uint64(PRIME)
+
+
 def signature_of(text: str | None) -> list[int]:
     """Twelve least permuted hashes of the text's character grams; zeros for a short text."""
     bare = "".join((text or "").split()).lower()
     if len(bare) < GRAM:
         return [0] * len(FACTORS)
-    grams = {bare[i : i + GRAM].encode("utf-8", "surrogatepass") for i in range(len(bare) - GRAM + 1)}
-    hashes = [((zlib.crc32(g) << 32) | zlib.adler32(g)) % PRIME for g in grams]
-    return [min((a * h + b) % PRIME for h in hashes) for a, b in zip(FACTORS, TERMS, strict=True)]
+    h = np.unique(_gram_hashes(np.frombuffer(bare.encode("utf-8", "surrogatepass"), dtype=np.uint8)))
+    low, high, part = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32), np.uint64(29)
+    out = []
+    for f, t in zip(FACTORS, TERMS, strict=True):
+        x = high * np.uint64(f)  # times 2 ** 32; 2 ** 61 is 1 modulo the prime
+        whole = (x >> part) + ((x & np.uint64((1 << 29) - 1)) << np.uint64(32)) + low * np.uint64(f) + np.uint64(t)
+        out.append(int((whole % np.uint64(PRIME)).min()))
+    return out
 
 
 @F.pandas_udf(ArrayType(LongType()))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import folds as P
 from ..functions import text as T
+from ..sources import numbered
 
 # Characters of a listed or read text.
-MOST = 6000
+MOST = 8000
 
 
 def spans(docs: DataFrame, source: str = "source") -> DataFrame:
@@ -48,6 +49,26 @@ def page(entries: DataFrame, key: str, cursor: str | None, size: int) -> tuple[D
     return rows.limit(size), found[size - 1] if len(found) > size else None
 
 
+def listing_pages(entries: DataFrame, key: str, size: int) -> DataFrame:
+    """page, entries, first, next_cursor of every page of a listing in order of its distinct keys: the walk along all cursors as one plan.
+
+    Keys are numbered in parallel; a page's cursor is the first key of the page behind it.
+    """
+    pages = numbered(entries.select(key).where(F.col(key).isNotNull()).distinct(), key).groupBy(F.floor(F.col("row") / size).alias("page")).agg(F.count("*").alias("entries"), F.min(key).alias("first"))
+    behind = pages.select((F.col("page") - 1).alias("page"), F.col("first").alias("next_cursor"))
+    return pages.join(behind, "page", "left").select("page", "entries", "first", "next_cursor")
+
+
+def document_pages(chunks: DataFrame, spans: DataFrame, size: int) -> DataFrame:
+    """source, page, chunks, first_row, last_row, next_row of every page of every document; next_row is null on the last.
+
+    chunks has row and source, and spans where each source's rows begin and end, so a chunk's page follows from its row.
+    """
+    at = F.floor((F.col("row") - F.col("start_row")) / size).alias("page")
+    pages = chunks.select("source", "row").join(spans, "source").groupBy("source", "end_row", at).agg(F.count("*").alias("chunks"), F.min("row").alias("first_row"), F.max("row").alias("last_row"))
+    return pages.select("source", "page", "chunks", "first_row", "last_row", F.when(F.col("last_row") + 1 < F.col("end_row"), F.col("last_row") + 1).alias("next_row"))
+
+
 def document_page(chunks: DataFrame, source: str, cursor: int = 0, size: int = 10, most: int = MOST) -> DataFrame:
     """source, text, chunks, next_cursor, provenance, images: chunks cursor to cursor + size of a document as one text."""
     if cursor < 0 or size < 1:

@@ -17,11 +17,39 @@ def relevant(source: Column, prefixes: Column, sources: Column) -> Column:
     return (value != "") & (under | F.array_contains(F.coalesce(sources, F.array().cast("array<string>")), value))
 
 
+def judged(results: DataFrame, golden: DataFrame) -> DataFrame:
+    """results (query_id, rank, source, ...) with rel: whether golden (query_id, prefixes, sources) wants the source, as ``relevant`` says.
+
+    A source is cut at the lengths of its query's prefixes, and the cuts are joined with the prefixes as equals.
+    """
+    path = lambda c: F.translate(F.coalesce(c, F.lit("")), "\\", "/")
+    none = F.array().cast("array<string>")
+    under = golden.select("query_id", F.explode(F.coalesce("prefixes", none)).alias("key"))
+    exact = golden.select("query_id", F.explode(F.coalesce("sources", none)).alias("key")).union(under.select("query_id", F.rtrim("key", F.lit("/"))))
+    wanted = under.select("query_id", "key", F.length("key").alias("n")).union(exact.select("query_id", "key", F.lit(-1))).distinct()
+    lengths = wanted.groupBy("query_id").agg(F.collect_set("n").alias("lengths"))  # a query's own few
+    named = results.select("query_id", "rank", path(F.col("source")).alias("value")).where("value <> ''")
+    cuts = named.join(lengths, "query_id").select("query_id", "rank", "value", F.explode("lengths").alias("n")).where("n <= length(value)")
+    cuts = cuts.select("query_id", "rank", "n", F.when(F.col("n") < 0, F.col("value")).otherwise(F.substring("value", F.lit(1), F.col("n"))).alias("key"))
+    hits = cuts.join(wanted, ["query_id", "n", "key"], "left_semi").select("query_id", "rank", F.lit(True).alias("rel")).distinct()
+    return results.join(hits, ["query_id", "rank"], "left").withColumn("rel", F.coalesce("rel", F.lit(False)))
+
+
 def first_ranks(results: DataFrame) -> DataFrame:
     """query_id, first: the rank of each query's first relevant result (query_id, rank, rel); null without any."""
     return results.groupBy("query_id").agg(F.min(F.when(F.col("rel"), F.col("rank"))).alias("first"))
 
 
+def golden_report(results: DataFrame, golden: DataFrame) -> DataFrame:
+    """query_id, label, first, reciprocal and outcome for every query of a golden set (query_id, label, prefixes, sources).
+
+    Positives have a first rank and its reciprocal, 0 without a relevant result; the others have an outcome.
+    """
+    named = outcomes(golden.select("query_id", "label"), results).join(first_ranks(judged(results, golden)), "query_id", "left")
+    positive = F.col("label") == "positive"
+    return named.select("query_id", "label", F.when(positive, F.col("first")).alias("first"), F.when(positive, F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6)).alias("reciprocal"), "outcome")
+
+
 def threshold_scan(results: DataFrame, queries: DataFrame, thresholds: list[float]) -> DataFrame:
     """threshold, pos_top1, pos_mrr, neg_returned, neg_zero over queries (query_id, negative) and their results (rank, score, rel).
 

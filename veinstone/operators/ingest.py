@@ -93,6 +93,35 @@ def union_lists(existing: Column, incoming: Column) -> Column:
     return F.concat(existing, F.filter(F.array_distinct(incoming), lambda x: ~F.array_contains(existing, x)))
 
 
+def merged_lists(manifests: DataFrame, keys: list[str], order: str, lists: list[str]) -> DataFrame:
+    """One row for each key of manifests (keys, order, lists): of each list its items in order of the manifests, each once, where it came first.
+
+    Items are numbered by manifest and place, and the first place of each is kept before a key's lists are made, so
+    that many manifests which say the same are not gathered.
+    """
+    out = manifests.select(*keys).distinct()
+    for name in lists:
+        items = manifests.select(*keys, F.col(order).alias("_o"), F.posexplode(name).alias("_i", "item"))
+        first = items.groupBy(*keys, "item").agg(F.min(F.struct("_o", "_i")).alias("at"))
+        made = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias(name))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        out = out.join(made.select(*[F.col(k).alias(f"_{k}") for k in keys], name), same, "left").drop(*[f"_{k}" for k in keys]).withColumn(name, F.coalesce(name, F.array().cast(manifests.schema[name].dataType)))
+    return out
+
+
+def init_actions(template: DataFrame, runtime: DataFrame, overwrite: bool, merge: list[str]) -> DataFrame:
+    """path, action of each template file (path): copied where the runtime (path) has none, else merged, overwritten or skipped."""
+    there = runtime.select("path", F.lit(True).alias("_there")).distinct()
+    name = F.when(F.col("_there").isNull(), "copied").when(F.col("path").isin(merge), "merged").otherwise("overwritten" if overwrite else "skipped")
+    return template.select("path").join(there, "path", "left").select("path", name.alias("action"))
+
+
+def init_summary(actions: DataFrame) -> DataFrame:
+    """action, files: how many files met each action, zeros included."""
+    names = F.explode(F.array(*map(F.lit, ("copied", "overwritten", "skipped", "merged")))).alias("action")
+    return actions.sparkSession.range(1).select(names).join(actions.groupBy("action").agg(F.count("*").alias("n")), "action", "left").select("action", F.coalesce("n", F.lit(0)).cast("long").alias("files"))
+
+
 def fingerprint(files: DataFrame) -> DataFrame:
     """A tree's revision without a commit: number of files, bytes and latest change."""
     return files.agg(F.concat_ws("-", F.lit("local"), F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.unix_micros(F.max("modificationTime")), F.lit(0))).alias("revision"))

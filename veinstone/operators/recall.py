@@ -14,7 +14,7 @@ from ..functions.vectors import dot
 from .retrieval import BODY, IDF_POWER, LEXICAL_WEIGHT, PATH, POOL, fuse
 
 # How many paths, rows of each, and rows of each identifier are recalled; the gates.
-PATHS, ROWS_PER_PATH, ROWS_PER_IDENTIFIER = 40, 3, 40
+PATHS, ROWS_PER_PATH, ROWS_PER_IDENTIFIER = 400, 2, 40
 THRESHOLD, MIRROR, MIRROR_LEAST, LEXICAL_SURE = 0.45, 11, 80, 0.5
 BROADCAST_BYTES = 32 << 20  # of queries or terms that are sent to every task; more are joined by a shuffle
 
@@ -36,7 +36,7 @@ def path_recall(sources: DataFrame, queries: DataFrame, paths: int = PATHS, rows
     """
     t = small(terms(queries), 128)
     hits = sources.join(t, F.contains(F.lower(T.path(F.col("source"))), F.col("term"))).select("query_id", "term", "source", "start_row", "end_row")
-    seen = hits.groupBy("query_id", "term").agg(F.countDistinct("source").alias("n"), F.count("*").alias("every"))
+    seen = hits.groupBy("query_id", "term").agg(F.count("*").alias("every"))
     scored = hits.join(seen, ["query_id", "term"]).groupBy("query_id", "source", "start_row", "end_row").agg(F.sum(1 / F.col("every")).alias("score"))
     best = scored.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "source"))).where(F.col("at") <= paths)
     rows = F.explode(F.sequence("start_row", F.least(F.col("end_row"), F.col("start_row") + rows_per_path) - 1)).alias("row")
@@ -71,7 +71,8 @@ def candidates(chunks: DataFrame, queries: DataFrame, recalled: list[DataFrame],
     for stage, more in enumerate(recalled, 1):
         out = out.unionByName(more.join(pool, ["query_id", "row"], "left_anti").select("query_id", "row", F.lit(stage).alias("stage"), "pos"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("stage", "pos"))
-    named = out.select("query_id", "row", place.alias("cand_pos"))
+    there = out.join(chunks.select("row"), "row", "left_semi")  # rows that chunks lacks leave no gap in the numbers
+    named = there.select("query_id", "row", place.alias("cand_pos"))
     full = chunks.join(small(named, 64), "row").join(small(queries.select("query_id", "vector"), 8192), "query_id")
     return full.select("query_id", "cand_pos", "row", "source", "text", F.round(dot(F.col("embedding"), F.col("vector")), 6).alias("dense"))
 

@@ -14,14 +14,15 @@ from .operators import browse as B
 from .operators import evaluation as E
 from .operators import ingest as I
 from .operators import recall as C
-from .operators.retrieval import LEXICAL_WEIGHT, path_filter
+from .operators.ranges import NARROWED
+from .operators.retrieval import LEXICAL_WEIGHT, POOL, path_filter
 
 # Bounds of a request's fields and the kinds of filters and extracts.
 BOUNDS = {"top_k": (1, 500), "score_threshold": (0.0, 2.0), "lexical_weight": (0.0, 1.0), "snippet_chars": (0, 50_000), "limit": (1, 500)}
 LONGEST = {"query": 8000, "corpus": 50, "cursor": 512}
 FILTERS = ("category", "source_prefix", "source", "chunk_id", "exclude_source_prefix", "year")
 EXTRACTS = ("code", "payload")
-LOW_SCORE = 0.5
+LOW_SCORE = 0.55
 
 
 @dataclass
@@ -115,7 +116,7 @@ class Retriever:
             return C.lexical_fallback(self.chunks, asked, recalled[::-1], r.top_k, kept).withColumn("dense", F.lit(None).cast("double")), True
         weight = self.weight if r.lexical_weight is None else r.lexical_weight
         rows = self.chunks.where(kept) if r.filters else self.chunks
-        scored = C.ranked(C.lexical(C.candidates(rows, asked, [self.within(x, r) for x in recalled]), asked), weight)
+        scored = C.ranked(C.lexical(C.candidates(rows, asked, [self.within(x, r) for x in recalled], NARROWED if r.filters else POOL), asked), weight)
         return C.evidence(scored, r.top_k, self.threshold if r.score_threshold is None else r.score_threshold, kept, mirrors=not r.extract), False
 
     def within(self, recalled: DataFrame, r: Request) -> DataFrame:
