@@ -127,7 +127,7 @@ def test_audit(spark):
 
 def test_a_full_chain_is_sent_on(monkeypatch):
     monkeypatch.setattr(audit, "HELD", 40)
-    rows = [(k, f"text {k % 3}", "en") for k in (5, 4, 9, 3, 1, 2, 0, 8, 7, 6)]
+    rows = [(k % 3 and 7, k, "en", 0, f"text {k % 3}".encode()) for k in (5, 4, 9, 3, 1, 2, 0, 8, 7, 6)]  # two texts share a key
     out = list(audit._routed(iter(list(audit._local(iter(rows))))))
     assert sorted((i, mask & audit.REPEATED > 0) for i, _, _, mask in out) == [(i, i > 2) for i in range(10)]
 

@@ -14,10 +14,13 @@ from itertools import permutations
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Tables, slices
+
 FILTERS = "ABCDE"
 WORDS, UPPER = 200, bytes(range(65, 91))  # A: words at least; C: upper-case letters
 ODD = bytes(b"#$%&*|")
@@ -65,24 +68,29 @@ def _rows(found: Found, more: int = 0) -> list[tuple]:
     return [(None if found.doc_id == np.inf else found.doc_id, part, n, found.mask | more) for part, n in found.parts.items()]
 
 
-def _local(rows: Iterator) -> Iterator[tuple[int, tuple]]:
-    """Rows (doc_id, text, part) of a task as (key, chain entry), and as (key, (row,)) those that some other of its rows makes fail E."""
+def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key (the text's xxhash, as a signed number), doc_id, part, mask and the compressed text of rows (doc_id, text, part)."""
     import xxhash
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in slices(batches):
+        raws = [((t or "").encode("utf-8", "surrogatepass"), len(t or "")) for t in batch.column(1).to_pylist()]
+        keys = np.array([xxhash.xxh64_intdigest(raw) for raw, _ in raws], dtype=np.uint64).view(np.int64)
+        columns = [pa.array(keys), batch.column(0), batch.column(2), pa.array([own_mask(*r) for r in raws], pa.int32()), pa.array([pack(raw) for raw, _ in raws], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "part", "mask", "packed"])
+
+
+def _local(rows: Iterator) -> Iterator[tuple[int, tuple]]:
+    """Prepared rows of a task as (key, chain entry), and as (key, row) those that some other of its rows makes fail E."""
     chains, held = {}, 0
-    for doc_id, text, part in rows:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        key = xxhash.xxh64_intdigest(raw)
-        packed, doc_id = pack(raw), np.inf if doc_id is None else doc_id  # a null id is never the smaller one
-        same = next((x for x in chains.get(key, ()) if x.packed == packed), None)
-        if same is None:
-            held += len(packed)
-        new = Found(packed, doc_id, {part: 1}, own_mask(raw, len(text or "")) if same is None else same.mask)
-        chains[key], known = _chained(chains.get(key, []), new)
+    for key, doc_id, part, mask, packed in rows:
+        chain = chains.get(key, [])
+        n = len(chain)
+        chains[key], known = _chained(chain, Found(bytes(packed), np.inf if doc_id is None else doc_id, {part: 1}, mask))  # a null id is never the smaller one
+        held += len(packed) * (len(chains[key]) > n)
         for row in known:
-            yield xxhash.xxh64_intdigest(str(row[0])), row
+            yield hash(row[0]), row
         if held > HELD:
             yield from ((k, x) for k, chain in chains.items() for x in chain)
             chains, held = {}, 0
@@ -104,11 +112,15 @@ def _routed(items: Iterator[tuple[int, tuple]]) -> Iterator[tuple]:
 
 
 def masks(docs: DataFrame) -> DataFrame:
-    """doc_id, part, n, mask: the filters that n rows of this id and part fail, bit k for the k-th of FILTERS."""
+    """doc_id, part, n, mask: the filters that n rows of this id and part fail, bit k for the k-th of FILTERS.
+
+    What is worked out of a single text is written once, so that a lost executor costs the routing alone.
+    """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("part")).rdd.map(tuple)
-    routed: RDD = rows.mapPartitions(_local).partitionBy(n, lambda key: key).mapPartitions(_routed)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("part"))
+    prepared = Tables(spark).write("prepared", rows.mapInArrow(_prepared, "key long, doc_id long, part string, mask int, packed binary"))
+    routed: RDD = prepared.rdd.map(tuple).mapPartitions(_local).partitionBy(n, lambda key: key).mapPartitions(_routed)
     return spark.createDataFrame(routed, "doc_id long, part string, n long, mask int")
 
 
