@@ -1,13 +1,13 @@
 """License scans in DataFrame functions alone, row by row and without a shuffle.
 
-Of a text's shingles those whose hash ends in SAMPLE zero bits, some eighth, are covered by overlapping windows.
-MinHash bands of the windows retrieve templates, and exact shingle containment in the whole text verifies them. A
-template with n such shingles is sought in windows of 4g of them, one every g, with the least power of two g for which
-any run of n lies whole inside a window; so a copy and its window have a Jaccard similarity J above 3/8, and one of
-which a quarter is altered above 1/4. Each of BANDS bands is one row, so that a band collides with probability J: a
-whole copy is missed with a probability below (5/8)^16 = 0.05 %, an altered one below 0.75^16 = 1 %. Templates of at
-most SHORT shingles, or with fewer than three that count, have windows of a single shingle and all their shingles as
-keys, which cannot miss.
+A text that shares no shingle with any template contains none, so an index of the templates' shingles, some thousand
+numbers, drops it first and loses nothing. All shingles of the other texts are covered by overlapping windows. MinHash
+bands of the windows retrieve templates, and exact shingle containment in the whole text verifies them. A template of
+n shingles is sought in windows of 4g shingles, one every g, with the least power of two g for which any run of n lies
+whole inside a window; so a copy and its window have a Jaccard similarity J above 3/8, and one of which a quarter is
+altered above 1/4. Each of BANDS bands is one row, so that a band collides with probability J: a whole copy is missed
+with a probability below (5/8)^24 = 0.002 %, an altered one below 0.75^24 = 0.1 %. Templates of at most SHORT shingles
+have windows of a single shingle and all their shingles as keys, which cannot miss.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its
 BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
 TEMPLATES |= {"mit-text": MIT, "isc-text": ISC, "bsd-2-clause-text": f"{BSD_HEAD} {BSD_TAIL}", "bsd-3-clause-text": f"{BSD_HEAD} {BSD_THIRD} {BSD_TAIL}", "unlicense-text": UNLICENSE}
-BANDS, SHORT, LEAST, SAMPLE = 16, 12, 2, 3  # rows of the signature; shingles of a short template; the least g; bits
+BANDS, SHORT, LEAST = 24, 12, 4  # rows of the signature; shingles of a short template; the least g
 
 
 def words(text: Column) -> Column:
@@ -66,16 +66,12 @@ def windows(least: Column) -> Column:
     return F.transform(least, lambda runs: F.transform(F.sequence(F.lit(1), F.greatest(F.size(runs) - 3, F.lit(1))), lambda i: F.array_min(F.slice(runs, i, 4))))
 
 
-def sampled(hashes: Column) -> Column:
-    return F.filter(hashes, lambda h: h.bitwiseAND(F.lit((1 << SAMPLE) - 1)) == 0)
-
-
 def spacing(shingles: list[int]) -> int:
     """g for a template; 0 for a short one."""
-    g, n = LEAST, sum(h % (1 << SAMPLE) == 0 for h in shingles)
-    while 3 * g + 1 < n:
+    g = LEAST
+    while 3 * g + 1 < len(shingles):
         g *= 2
-    return g if len(shingles) > SHORT and n > 2 else 0
+    return g if len(shingles) > SHORT else 0
 
 
 def _templates(docs: DataFrame) -> list[tuple[str, list[int], list[int]]]:
@@ -83,7 +79,7 @@ def _templates(docs: DataFrame) -> list[tuple[str, list[int], list[int]]]:
     spark = docs.sparkSession
     given = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("text")) for k, v in sorted(TEMPLATES.items())])
     rows = spark.range(1).select(F.inline(given)).select("name", shingles(words(F.col("text"))).alias("s"))
-    rows = rows.select("name", F.array_distinct("s").alias("s"), F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda band: F.array_min(F.transform(sampled(F.col("s")), lambda h: F.xxhash64(h, band)))).alias("least"))
+    rows = rows.select("name", F.array_distinct("s").alias("s"), F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda band: F.array_min(F.transform("s", lambda h: F.xxhash64(h, band)))).alias("least"))
     return [(r["name"], r["s"], r["least"]) for r in rows.collect()]
 
 
@@ -97,9 +93,9 @@ def scan(docs: DataFrame) -> DataFrame:
     known = _templates(docs)
     scales = sorted({g for _, s, _ in known if (g := spacing(s))})
     rows = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", shingles(F.col("w")).alias("s"))
-    rows = rows.withColumn("k0", F.array_intersect("s", longs({x for _, s, _ in known if not spacing(s) for x in s})))
-    rows = rows.withColumn("few", sampled(F.col("s")))
-    rows = rows.withColumn("m", least_hashes(F.col("few"), LEAST))
+    rows = rows.withColumn("k", F.array_intersect("s", longs({x for _, s, _ in known for x in s})))
+    rows = rows.withColumn("k0", F.array_intersect("k", longs({x for _, s, _ in known if not spacing(s) for x in s})))
+    rows = rows.withColumn("m", least_hashes(F.when(F.size("k") > 0, F.col("s")).otherwise(F.array().cast("array<bigint>")), LEAST))
     for g in scales:
         signature = windows(coarser(F.col("m"), g // LEAST) if g > LEAST else F.col("m"))
         rows = rows.withColumn(f"k{g}", F.array_intersect(F.flatten(signature), longs({x for _, s, least in known if spacing(s) == g for x in least})))
@@ -107,7 +103,7 @@ def scan(docs: DataFrame) -> DataFrame:
     for name, s, least in known:
         g = spacing(s)
         retrieved = F.arrays_overlap(f"k{g}", longs(least if g else s))
-        contained = F.size(F.array_intersect("s", longs(s))) >= CONTAINED * len(s)
+        contained = F.size(F.array_intersect("k", longs(s))) >= CONTAINED * len(s)
         found.append(F.when((F.size(f"k{g}") > 0) & retrieved & contained, F.lit(name)))
     names = F.array_compact(F.array(*found))
     return rows.withColumn("names", names).select("doc_id", F.size("names").cast("long").alias("n_licenses"), F.concat_ws(",", "names").alias("licenses"))
