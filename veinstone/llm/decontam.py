@@ -20,6 +20,9 @@ WINDOW = 13
 BLOCK_BYTES = 16 << 20  # of benchmark text in one broadcast
 SHARD_WORDS = 2_000_000  # of training words in one suffix array; a longer document has one of its own
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+PAIRS = 1 << 17  # matches worked out at once
+BY_WORD = 256  # words beyond a window that a match is compared word by word; from there on by two hashes of 31 bits
+PRIMES, BASES = ((1 << 31) - 1, (1 << 31) - 19), (1_000_003, 998_244_353)
 PART = 1 << 20  # bytes of one test text in a block; a longer one goes in parts that overlap by a window
 FOLD_SCHEMA = "doc_id long, text string, n_words long, spans array<int>, items array<string>, matches array<struct<item:string,doc_word:int,item_word:int,length:int>>"
 
@@ -73,30 +76,71 @@ class TestSet:
         if not len(at) or not len(self.at):
             return
         suffix = _keys(seq[at[:, None] + np.arange(WINDOW)].astype(">u4"))
-        order = np.argsort(suffix, kind="stable")
-        suffix, at = suffix[order], at[order]
+        left = np.where(at > 0, seq[at - 1], 0)
+        order = np.lexsort((left, suffix))
+        suffix, at, left = suffix[order], at[order], left[order]
         lo, hi = np.searchsorted(suffix, self.low, "left"), np.searchsorted(suffix, self.high, "right")
         found = np.flatnonzero(hi > lo)
-        n = hi[found] - lo[found]
-        for begin in range(0, len(found), 4096):  # places of some test suffixes at a time
-            f, k = found[begin : begin + 4096], n[begin : begin + 4096]
-            mine = np.repeat(f, k)
-            place = at[np.repeat(lo[f], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
-            test = self.at[mine]
-            # maximal on the left: the words before differ, or one of them is the end of its text
-            left = np.where((place > 0) & (test > 0), seq[place - 1], 0)
-            part = (left > 0) & (left == self.seq[test - 1]) & (test > self.starts[self.owner[mine]])
-            part &= self.need[mine] == WINDOW  # a shorter item has no longer match
-            mine, place, test = mine[~part], place[~part], test[~part]
-            length = self.need[mine].copy()
-            grow = np.arange(len(mine))
-            while len(grow):
-                a, b = place[grow] + length[grow], test[grow] + length[grow]
-                more = seq[np.minimum(a, len(seq) - 1)]
-                grow = grow[(more > 0) & (a < len(seq)) & (more == self.seq[np.minimum(b, len(self.seq) - 1)])]
-                length[grow] += 1
+        lo, hi = lo[found], hi[found]
+        # Places of one suffix stand in order of the word before them, so those that the same word precedes in the test
+        # text, whose match is longer by that word, are a range and are left out of the count before any is listed.
+        wide = len(self.ids) + 1
+        where = np.cumsum(np.concatenate(([0], suffix[1:] != suffix[:-1]))) * wide + left
+        test = self.at[found]
+        inner = (test > self.starts[self.owner[found]]) & (self.need[found] == WINDOW)  # a shorter item has no longer match
+        same = (where[lo] - left[lo]) + np.where(inner, self.seq[test - 1], 0)
+        skip = np.where(inner, np.searchsorted(where, same, "left"), hi)
+        skipped = np.where(inner, np.searchsorted(where, same, "right") - skip, 0)
+        n = hi - lo - skipped
+        ends = np.cumsum(n)
+        for begin in range(0, int(n.sum()), PAIRS):
+            pair = np.arange(begin, min(begin + PAIRS, int(ends[-1])))
+            f = np.searchsorted(ends, pair, "right")
+            j = lo[f] + pair - (ends[f] - n[f])
+            place, mine = at[np.where(j < skip[f], j, j + skipped[f])], found[f]
+            begins = self.at[mine]
+            length = self._longest(seq, place, begins, self.need[mine])
             doc = owner[place]
-            yield from zip(doc.tolist(), (place - starts[doc]).tolist(), self.owner[mine].tolist(), (test - self.starts[self.owner[mine]]).tolist(), length.tolist(), strict=True)
+            yield from zip(doc.tolist(), (place - starts[doc]).tolist(), self.owner[mine].tolist(), (begins - self.starts[self.owner[mine]]).tolist(), length.tolist(), strict=True)
+
+    def _longest(self, seq: np.ndarray, place: np.ndarray, test: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """How many words the texts share from there on: word by word at first, by bisection over prefix hashes if many."""
+        length = need.copy()
+        grow = np.arange(len(place))
+        for _ in range(BY_WORD):
+            a, b = place[grow] + length[grow], test[grow] + length[grow]
+            more = seq[np.minimum(a, len(seq) - 1)]
+            grow = grow[(more > 0) & (a < len(seq)) & (more == self.seq[np.minimum(b, len(self.seq) - 1)])]
+            if not len(grow):
+                return length
+            length[grow] += 1
+        a, b = place[grow], test[grow]
+        low = length[grow]
+        stop = lambda x: np.minimum.accumulate(np.where(x == 0, np.arange(len(x)), len(x))[::-1])[::-1]  # noqa: E731  the next end of a text
+        high = np.minimum(stop(seq)[a] - a, stop(self.seq)[b] - b)
+        ours, theirs = _prefixes(seq), _prefixes(self.seq)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            equal = np.ones(len(a), dtype=bool)
+            for (h, p), (g, q), prime in zip(ours, theirs, PRIMES, strict=True):
+                equal &= (h[a + mid] - h[a]) % prime * q[b] % prime == (g[b + mid] - g[b]) % prime * p[a] % prime
+            low, high = np.where(equal, mid, low), np.where(equal, high, mid - 1)
+        length[grow] = low
+        return length
+
+
+def _prefixes(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of two primes the sums of ids times powers of a base up to each place, and the powers."""
+    out = []
+    for prime, base in zip(PRIMES, BASES, strict=True):
+        power = np.ones(len(x) + 1, dtype=np.int64)
+        done = 1
+        while done < len(power):
+            step = int(power[done - 1]) * base % prime
+            power[done : 2 * done] = power[: min(done, len(power) - done)] * step % prime
+            done *= 2
+        out.append((np.concatenate(([0], np.cumsum((x + 1) * power[:-1] % prime))), power))
+    return out
 
 
 def _keys(rows: np.ndarray) -> np.ndarray:
@@ -135,13 +179,15 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, lis
                 begin, held, n = i + 1, [], 0
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, benchmark: DataFrame, places: bool = True) -> DataFrame:
     """docs' doc_id and text with n_words, merged word spans (start, end, ...) that are hit, items, and the matches.
 
     A match (item, doc_word, item_word, length) is a longest verbatim run of words that a document and an item share, of
     a window's length at least or the whole of a shorter item; a run that goes over a boundary of the parts of a long
     item is given by part. One row for each input row, repeated ones too. Null or wordless texts have no words and no
-    hits; items with a null item_id or no words are passed over; an empty benchmark hits nothing. Test blocks pass over
+    hits; items with a null item_id or no words are passed over; an empty benchmark hits nothing. Long texts of few
+    different words have as many matches as their beginnings and ends can align, which are worked out PAIRS at a time;
+    without places they aren't listed, only their spans and items. Test blocks pass over
     the shards one after another; each is a broadcast of about BLOCK_BYTES.
     """
     spark = docs.sparkSession
@@ -162,7 +208,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for doc, start, item, word, length in known.search(texts):
                     spans[doc].append((start, start + length))
                     items[doc].add(known.items[item])
-                    matches[doc].append({"item": known.items[item], "doc_word": start, "item_word": word + known.offsets[item], "length": length})
+                    if places:
+                        matches[doc].append({"item": known.items[item], "doc_word": start, "item_word": word + known.offsets[item], "length": length})
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].astype("Int64").values, "text": part["text"].values, "n_words": [len(t) for t in texts],
                     "spans": [[int(x) for ab in merge_spans(s) for x in ab] for s in spans], "items": [sorted(x) for x in items], "matches": matches,
@@ -183,13 +230,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Odd rows are as in occurrences; a text without words is never contaminated.
     """
-    return _judged(occurrences(docs, benchmark)).select(
+    return _judged(occurrences(docs, benchmark, places=False)).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows. The verdict rests on the text alone and follows it, whatever a row's id is."""
-    bad = _judged(occurrences(docs, benchmark)).where("contaminated").select(text_key().alias("key")).distinct()
+    bad = _judged(occurrences(docs, benchmark, places=False)).where("contaminated").select(text_key().alias("key")).distinct()
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     return docs.select(whole, text_key().alias("key")).join(bad, "key", "left_anti").select("row.*")
