@@ -18,15 +18,16 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-PAGES, SEED, TEMPER = 400, 11, 0.6
+PAGES, SEED, TEMPER = 1200, 11, 0.8
 # Fixed values of HTML: elements without content, without rendered text, that break lines, and what closes a paragraph.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 SILENT = set("head script style noscript template title iframe object svg select option textarea button form".split())
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"table", "ul", "ol", "dl", "article", "section", "div", "body", "html", "nav", "aside", "footer", "header", "main"}
+BOXES = {"div", "section", "table"}
 HOLDERS = {"table", "ul", "ol", "dl", "body"}
-_UNFINISHED = re.compile(r"<(?:[A-Za-z/!][^<>]*)?\Z")
+_UNFINISHED = re.compile(r"<[A-Za-z/!?]")
 
 
 class _Node:
@@ -40,14 +41,17 @@ class _Node:
 class Tree(HTMLParser):
     """Elements in page order (parents first) and blocks of text, each with the block element that owns it.
 
-    Work is linear in the page: the open elements of each tag are kept apart, and characters are summed at the end.
+    Work is linear in the page: the open elements of each tag are kept apart, characters are summed at the end, and a
+    tag that never ends is not tried anew at each of its characters.
     """
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes, self.blocks = [_Node("#root", [], -1, False, False, 0)], []
         self.open, self.run, self.where = [0], [], defaultdict(list)
-        self.feed(_UNFINISHED.sub("", html))
+        self.feed(html)
+        if _UNFINISHED.match(self.rawdata):  # a tag or comment that the page's end cuts off is no text; looked at once
+            self.rawdata = ""
         self.close()
         self._flush()
         for node in reversed(self.nodes[1:]):
@@ -108,9 +112,9 @@ class Tree(HTMLParser):
 
 
 def features(node: _Node) -> list[str]:
-    """What an element shows of itself: its tag, the share of its text in links, and its names. Lengths say nothing."""
+    """What an element shows of itself: its tag, its names and, of boxes and lists, the share of text in links. Lengths say nothing."""
     density = node.links / node.text if node.text else 0
-    out = [f"tag={node.tag}", f"links={'all' if density > 0.8 else 'some' if density > 0.2 else 'none'}"]
+    out = [f"tag={node.tag}"] + [f"links={'all' if density > 0.8 else 'some' if density > 0.2 else 'none'}"] * (node.tag in BOXES)
     return out + [f"name={w}" for w in sorted(set(node.names))]
 
 
@@ -168,19 +172,22 @@ def labelled_page(r: random.Random) -> tuple[Tree, list[int]]:
     links = lambda: "<ul>" + "".join(f'<li><a href="/x">{text(1, 3)}</a></li>' for _ in range(r.randint(3, 8))) + "</ul>"
     names = {
         "nav": ["nav", "menu", "navbar", "breadcrumb", "navigation"], "side": ["sidebar", "side", "widget", "related", "share", "social", "newsletter", "subscribe"],
-        "note": ["cookie", "banner", "notice", "consent", "alert", "popup"], "ad": ["ad", "ads", "advert", "advertisement", "sponsored", "promo"], "comment": ["comments", "comment", "discussion", "replies", "disqus"],
+        "note": ["cookie", "banner", "notice", "consent", "alert", "popup"], "ad": ["ad", "ads", "advert", "advertisement", "sponsored", "promo"], "comment": ["comments", "comment", "discussion", "replies", "disqus", "responses", "response", "reader comments", "feedback", "reviews"],
     }
     name = lambda k: f'{r.choice(["class", "id"])}="{r.choice(names[k])}{r.choice(["", "", " box", "-wrap"])}"'
-    ad = lambda: f"<div {name('ad')}>{r.choice(['', '<p>'])}{text(4, 14)}</div>"
+    ad = lambda: r.choice([f"<div {name('ad')}>{r.choice(['', '<p>'])}{text(4, 14)}</div>", f"<p {name('ad')}>{text(1, 14)}</p>"])
+    said = lambda: r.choice([f"<section {name('comment')}><h3>{text(1, 2)}</h3>" + "".join(f"<div {name('comment')}><p>{text(5, 30)}</p></div>" for _ in range(r.randint(1, 3))) + "</section>", f"<{(k := r.choice(['ol', 'ul']))} {name('comment')}>" + "".join(f"<li>{text(1, 30)}</li>" for _ in range(r.randint(1, 4))) + f"</{k}>", f"<div {name('comment')}><p>{text(2, 30)}</p></div>"])
+    linked = lambda: r.choice([f"<p><a href='/l'>{text(1, 30)}</a></p>", f"<p><a href='/l'>{text(1, 30)}</a> {text(1, 3)}</p>", "<ul>" + "".join(f"<li><a href='/l'>{text(1, 8)}</a></li>" for _ in range(r.randint(2, 9))) + "</ul>"])
     body = []
     for _ in range(r.randint(0, 9)):
-        body.append(r.choice([lambda: f"<p>{text(5, 90)}</p>"] * 5 + [lambda: f"<p>{text(1, 3)}</p>"] * 2 + [lambda: f"<p>{text(200, 900)}</p>"] + [lambda: f"<h2>{text(2, 6)}</h2>", lambda: f"<ul><li>{text(4, 15)}</li><li>{text(4, 15)}</li></ul>", lambda: f"<blockquote><p>{text(8, 30)}</p></blockquote>", lambda: f"<p><b>{text(5, 40)}<br><p>{text(5, 40)}</p>", lambda: f"<table><tr><td>{text(2, 6)}</td><td>{text(2, 6)}</td></tr></table>", lambda: f"<pre>{text(4, 20)}</pre>", lambda: f"<div><p>{text(9, 30)}</p></div>"])())
-        if r.random() < 0.06:
-            body.append("<!--0-->" + r.choice([ad, lambda: f"<aside {name('side')}><p>{text(5, 20)}</p>{links()}</aside>"])() + "<!--1-->")
-    title = f"<h1>{text(2, 9)}</h1>"
+        body.append(r.choice([lambda: f"<p>{text(5, 90)}</p>"] * 5 + [lambda: f"<p>{text(1, 3)}</p>"] * 2 + [lambda: f"<p>{text(200, 900)}</p>"] + [linked] * 6 + [lambda: f"<h2>{text(2, 6)}</h2>", lambda: f"<section><h2>{text(1, 6)}</h2><p>{text(3, 40)}</p></section>", lambda: f"<ul><li>{text(4, 15)}</li><li>{text(4, 15)}</li></ul>", lambda: f"<blockquote><p>{text(8, 30)}</p></blockquote>", lambda: f"<p><b>{text(5, 40)}<br><p>{text(5, 40)}</p>", lambda: f"<table><tr><td>{text(2, 6)}</td><td>{text(2, 6)}</td></tr></table>", lambda: f"<pre>{text(4, 20)}</pre>", lambda: f"<div><p>{text(9, 30)}</p></div>"])())
+        if r.random() < 0.35:
+            body.append("<!--0-->" + r.choice([ad, said, lambda: f"<aside {name('side')}><p>{text(5, 20)}</p>{links()}</aside>"])() + "<!--1-->")
+    body = [linked()] * (len(body) < 2 and r.random() < 0.3) + body
+    title = r.choice(["", "<h1>{}</h1>", "<h1>{}</h1>", "<h1>{}</h1>", "<header><h1>{}</h1></header>"]).format(text(1, 9))
     tag, attr = r.choice([("article", ""), ("article", ' class="post"'), ("main", ""), ("main", ' id="content"'), ("div", ' id="content"'), ("div", ' class="article-body"'), ("div", ' class="post-content"'), ("section", ' class="entry content"')])
     parts = [f"<nav>{links()}</nav>", f"<div {name('nav')}>{links()}</div>", f"<header><div {name('nav')}>{text(1, 5)}</div></header>", f"<aside {name('side')}><h3>{text(1, 3)}</h3>{links()}<p>{text(4, 25)}</p></aside>", f"<div {name('side')}><p>{text(5, 20)}</p></div>", f"<div {name('note')}><p>{text(6, 25)}</p><a href='/c'>{text(1, 2)}</a></div>", ad(), f"<div {name('nav')}><a href='/'>{text(1, 2)}</a> {text(1, 2)}</div>"]
-    after = [f"<section {name('comment')}><h3>{text(1, 2)}</h3>" + "".join(f"<div {name('comment')}><p>{text(5, 30)}</p></div>" for _ in range(r.randint(1, 3))) + "</section>", f"<aside {name('side')}>{links()}</aside>", ad(), f"<div {name('side')}>{links()}</div>", f"<form action='/s'><p>{text(2, 6)}</p></form>"]
+    after = [said(), said(), f"<aside {name('side')}>{links()}</aside>", ad(), f"<div {name('side')}>{links()}</div>", f"<form action='/s'><p>{text(2, 6)}</p></form>"]
     html = f"<html><head><title>{text(2, 9)}</title></head><body>" + "".join(r.sample(parts, r.randint(1, 5))) + f"<{tag}{attr} data-c>{title}{''.join(body)}</{tag}>" + "".join(r.sample(after, r.randint(0, 4))) + f"<footer>{r.choice(['<p>', ''])}{text(3, 12)}</footer></body></html>"
     return _labels(html)
 
