@@ -109,16 +109,8 @@ def test_streams(spark, tmp_path):
     assert [tuple(r) for r in streaming.messages(spark.createDataFrame(lines, "conv_id int, seq int, line string")).collect()] == [(1, "hello", 2, "stop")]
 
 
-def test_folds():
+def test_signature_sees_neither_case_nor_white_space():
     assert P.signature_of("a b") == [0] * 12 and P.signature_of("The same  text here") == P.signature_of("the same text\nhere")
-    base = "Paragraph one about something.\n\nSecond paragraph with words.\n\n" + "x" * 1200
-    parts = P.chunks_of(base, 500)
-    assert all(len(p) <= 500 for p in parts) and "".join(parts).replace("\n", "") == base.replace("\n", "") and P.chunks_of(None, 5) == []
-    text = "\n".join(f"line {i} " + "w" * 30 for i in range(100)) + " CVE-2021-9 tail"
-    cut = P.snippet_of(text, "cve-2021-9", 100)
-    assert "CVE-2021-9" in cut and cut.startswith("…") and len(P.bounded_of(text, "cve-2021-9", 300)) <= 300 and P.bounded_of(text, "", 3) == text[:2].rstrip() + "…"
-    a, b = "one\ntwo\nthree is a line of some length", "three is a line of some length\nfour"
-    assert P.joined_of([a, b]) == a + "\n\n\nfour" and P.joined_of(["abc", "abd"]) == "abc\n\nabd" and P.joined_of(["x 0123456789abc", "0123456789abc y"]) == "x 0123456789abc\n\n y"
 
 
 def test_mirrors_and_neighbours(spark, sf):

@@ -1,23 +1,17 @@
-"""Text functions that walk a text step by step, as Arrow-batched functions."""
+"""Signatures of texts, worked out over a batch with arrays."""
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType
+from pyspark.sql.types import ArrayType, LongType
 
-# The signature's prime, factors and gram width; overlaps, windows and look-around in characters or lines.
+# The signature's prime, factors and gram width.
 PRIME, GRAM = (1 << 61) - 1, 8
 FACTORS = [1, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37]
 TERMS = [41, 43, 47, 53, 59, 61, 67, 71, 73, 79, 83, 89]
-SEAM_LINES, SEAM_SUBSTANCE, OVERLAP_LEAST, OVERLAP_MOST = 10, 25, 12, 300
-LOOK, MARGIN, LEAST_FALLBACK, MARK = 80, 160, 32, "…"
-_TOKEN = re.compile(r"[a-z0-9][a-z0-9._+:-]*")
-_HANZI = re.compile("[一-鿿]{2,}")
 
 
 def _crc_table() -> np.ndarray:
@@ -70,103 +64,3 @@ def likeness(a: Column, b: Column) -> Column:
     """The share of equal places of two signatures; 0 if one is empty or they differ in length."""
     same = F.aggregate(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y).cast("int")), F.lit(0), lambda s, x: s + x)
     return F.when((F.size(a) == 0) | (F.size(a) != F.size(b)), F.lit(0.0)).otherwise(same / F.size(a))
-
-
-def hit_place(text: str, query: str) -> int | None:
-    """Where the first token of the query stands in the text or, if none does, its first pair of Hanzi."""
-    low = text.lower()
-    at = [i for t in _TOKEN.findall(query.lower()) if len(t) >= 2 and (i := low.find(t)) >= 0]
-    if not at:
-        at = [i for run in _HANZI.findall(query) for k in range(len(run) - 1) if (i := text.find(run[k : k + 2])) >= 0]
-    return min(at, default=None)
-
-
-def snippet_of(text: str | None, query: str | None, size: int) -> str | None:
-    """A window of about size characters around the first hit, widened to whole lines where they are near."""
-    if not text or size <= 0 or len(text) <= size:
-        return text
-    place = hit_place(text, query) if query and query.strip() else None
-    begin = max(0, (place or 0) - max(1, size // 2))
-    end = min(len(text), begin + size)
-    line = text.rfind("\n", max(0, begin - LOOK), begin)
-    begin = line + 1 if line >= 0 else max(0, begin - LOOK)
-    line = text.find("\n", end, min(len(text), end + LOOK))
-    end = line if line >= 0 else min(len(text), end + LOOK)
-    window = (MARK if begin else "") + text[begin:end].rstrip() + (MARK if end < len(text) else "")
-    return window if window.strip(MARK).strip() else text[: max(size, LEAST_FALLBACK)].rstrip() + MARK
-
-
-def bounded_of(text: str | None, query: str | None, most: int) -> str | None:
-    """The text within a hard limit of characters, cut around the first hit."""
-    if not text or most <= 0 or len(text) <= most:
-        return text
-    window = snippet_of(text, query, max(1, most - MARGIN))
-    return window if len(window) <= most else MARK[:most] if most <= len(MARK) else window[: most - len(MARK)].rstrip() + MARK
-
-
-def snippet(text: Column, query: Column, size: int) -> Column:
-    @F.pandas_udf(StringType())
-    def run(texts: pd.Series, queries: pd.Series) -> pd.Series:
-        return pd.Series([snippet_of(t, q, size) for t, q in zip(texts, queries, strict=True)], dtype=object)
-
-    return run(text, query)
-
-
-def bounded(text: Column, query: Column, most: int) -> Column:
-    @F.pandas_udf(StringType())
-    def run(texts: pd.Series, queries: pd.Series) -> pd.Series:
-        return pd.Series([bounded_of(t, q, most) for t, q in zip(texts, queries, strict=True)], dtype=object)
-
-    return run(text, query)
-
-
-def after_seam(left: str, text: str) -> str:
-    """What text adds behind left, without the lines or characters that end the one and begin the other."""
-    ours, theirs = left.split("\n"), text.split("\n")
-    run = next((n for n in range(min(len(ours), len(theirs), SEAM_LINES), 0, -1) if ours[-n:] == theirs[:n]), 0)
-    if run > 1 or run and len(theirs[0]) >= SEAM_SUBSTANCE:
-        rest = "\n".join(theirs[run:])
-        return "\n" + rest if rest.strip() else ""
-    tail = left[-OVERLAP_MOST:]
-    cut = next((n for n in range(min(len(tail), len(text)), OVERLAP_LEAST - 1, -1) if tail.endswith(text[:n])), 0)
-    return text[cut:]
-
-
-def joined_of(texts: list[str | None]) -> str:
-    """Neighbouring chunks as one text, a blank line between them, without what they repeat at their seams."""
-    out, whole = [], None
-    for text in texts:
-        rest = (text or "") if whole is None else after_seam(whole, text) if text else ""
-        if whole is None or rest:
-            out.append(rest)
-            whole = (whole or "") + rest
-    return "\n\n".join(out)
-
-
-@F.pandas_udf(StringType())
-def joined(texts: pd.Series) -> pd.Series:
-    return pd.Series([joined_of(list(t)) if t is not None else "" for t in texts], dtype=object)
-
-
-def chunks_of(text: str | None, limit: int) -> list[str]:
-    """Paragraphs packed in order into chunks of at most limit characters; a longer paragraph is cut."""
-    out, held = [], ""
-    for block in filter(None, map(str.strip, (text or "").split("\n\n"))):
-        together = f"{held}\n\n{block}" if held else block
-        if len(together) <= limit:
-            held = together
-            continue
-        if held:
-            out.append(held)
-        whole = (len(block) - 1) // limit * limit
-        out += [block[i : i + limit] for i in range(0, whole, limit)]
-        held = block[whole:]
-    return [*out, held] if held else out
-
-
-def chunked(text: Column, limit: int = 500) -> Column:
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunks_of(t, limit), na_action=None)
-
-    return run(text)

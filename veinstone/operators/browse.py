@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import folds as P
+from ..functions import assemble as A
 from ..functions import text as T
 from ..sources import numbered
 
@@ -76,9 +76,9 @@ def document_page(chunks: DataFrame, source: str, cursor: int = 0, size: int = 1
     own = chunks.where(F.col("source") == source.replace("\\", "/"))
     placed = own.withColumn("at", F.row_number().over(Window.partitionBy("source").orderBy("row")) - 1).where(F.col("at").between(cursor, cursor + size))
     shown = placed.groupBy("source").agg(F.sort_array(F.collect_list(F.when(F.col("at") < cursor + size, F.struct("at", "text")))).alias("t"), F.count(F.when(F.col("at") == cursor + size, 1)).alias("more"))
-    whole = shown.select("source", P.joined(F.transform("t", lambda x: x["text"])).alias("text"), F.size("t").alias("chunks"), F.when(F.col("more") > 0, F.lit(cursor + size)).alias("next_cursor"))
+    whole = shown.select("source", A.joined(F.transform("t", lambda x: x["text"])).alias("text"), F.size("t").alias("chunks"), F.when(F.col("more") > 0, F.lit(cursor + size)).alias("next_cursor"))
     clean = T.strip_images(T.strip_provenance(F.col("text")))
-    return whole.select("source", P.bounded(clean, F.substring_index("source", "/", -1), most).alias("text"), "chunks", "next_cursor", T.provenance(F.col("text")).alias("provenance"), T.images(F.col("text")).alias("images"))
+    return whole.select("source", A.bounded(clean, F.substring_index("source", "/", -1), most).alias("text"), "chunks", "next_cursor", T.provenance(F.col("text")).alias("provenance"), T.images(F.col("text")).alias("images"))
 
 
 def chunk_row(chunk_id: str, corpus: str) -> int:
@@ -104,7 +104,7 @@ def merged(hits: DataFrame, chunks: DataFrame, limit: int = 2) -> DataFrame:
     gathered = found.groupBy("query_id", "rank", "row", "source").agg(F.sort_array(F.collect_list(F.struct("near", "part"))).alias("parts"))  # at most 2 * limit + 1 rows
     joint = F.filter("parts", lambda p: F.size(F.filter("parts", lambda o: (o["near"] >= F.least(p["near"], F.col("row"))) & (o["near"] <= F.greatest(p["near"], F.col("row"))))) == F.abs(p["near"] - F.col("row")) + 1)
     rows = gathered.withColumn("parts", joint)
-    return rows.select("query_id", "rank", "row", "source", P.joined(F.transform("parts", lambda p: p["part"])).alias("text"), F.size("parts").alias("n_merged"), F.transform("parts", lambda p: p["near"]).alias("rows"))
+    return rows.select("query_id", "rank", "row", "source", A.joined(F.transform("parts", lambda p: p["part"])).alias("text"), F.size("parts").alias("n_merged"), F.transform("parts", lambda p: p["near"]).alias("rows"))
 
 
 def availability(src: Column, document: Column, known: Column | None = None) -> Column:
@@ -124,4 +124,4 @@ def annotated(rows: DataFrame, kind: str | None = None, most: int = MOST, query:
     text = F.col("text")
     noted = rows.withColumns({"facts": T.facts(text), "origin": T.origin(F.col("source")), "flags": T.flags(text), "screenshots": T.screenshots(text), "images": T.images(text), "provenance": T.provenance(text)})
     noted = noted.withColumn("segments", T.segments(text, kind)) if kind else noted
-    return noted.withColumn("text", P.bounded(T.strip_images(T.strip_provenance(text)), F.col(query) if query else F.lit(""), most))
+    return noted.withColumn("text", A.bounded(T.strip_images(T.strip_provenance(text)), F.col(query) if query else F.lit(""), most))

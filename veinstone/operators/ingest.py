@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import folds as P
+from ..functions import assemble as A
 from ..functions import text as T
 from ..functions import vectors as V
 from ..sources import numbered
@@ -129,7 +129,7 @@ def fingerprint(files: DataFrame) -> DataFrame:
 
 def chunked(docs: DataFrame, limit: int = 500) -> DataFrame:
     """source, at, text: the chunks of each document (source, text) in order."""
-    return docs.select("source", F.posexplode(P.chunked(F.col("text"), limit)).alias("at", "text"))
+    return docs.select("source", F.posexplode(A.chunked(F.col("text"), limit)).alias("at", "text"))
 
 
 def build_index(spark: SparkSession, chunks: DataFrame, path: str, model: str) -> dict[str, int]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import assemble as A
 from ..functions import folds as P
 from ..functions import text as T
 from ..functions import vectors as V
@@ -116,10 +117,27 @@ def segments(spark, d):
     return markdown(spark, d).select("doc_id", F.inline(T.segments(F.col("text"), "payload")))
 
 
-@query()
+_END = rf"{_W}+$"
+_STRIP = lambda t: f"regexp_replace(regexp_replace({t}, '^{_W}+', ''), '{_END}', '')"
+_LAST_LINE = lambda t: f"regexp_extract({t}, '[^\n]*$')"
+_FIRST_LINE = lambda t: f"regexp_extract({t}, '^[^\n]*')"
+
+
+def _window_sql(name: str, size: int) -> str:
+    """Columns i, t, low (the query's token) and place (characters before it) of a table, with the window of a size around it."""
+    return f"""SELECT i, t, (CASE WHEN a > 0 THEN '…' ELSE '' END) || regexp_replace(substring(t, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)), '{_END}', '') || (CASE WHEN b < length(t) THEN '…' ELSE '' END) AS w FROM (
+SELECT i, t, a - length({_LAST_LINE('substring(t, CAST(greatest(a - 80, 0) + 1 AS BIGINT), CAST(a - greatest(a - 80, 0) AS BIGINT))')}) AS a,
+b + length({_FIRST_LINE('substring(t, CAST(b + 1 AS BIGINT), CAST(least(b + 80, length(t)) - b AS BIGINT))')}) AS b FROM (
+SELECT i, t, greatest(place - {size // 2}, 0) AS a, least(greatest(place - {size // 2}, 0) + {size}, length(t)) AS b FROM {name}))"""
+
+
+@query(f"""WITH m AS (SELECT doc_id AS i, text AS t, 'cve-2021-' || CAST(1000 + doc_id AS VARCHAR) AS low FROM {_MD}), h AS (SELECT *, greatest(instr(lower(t), low) - 1, 0) AS place FROM m),
+s AS ({_window_sql('h', 400)}), o AS ({_window_sql('h', 540)})
+SELECT s.i AS doc_id, CASE WHEN length(s.t) <= 400 THEN s.t ELSE s.w END AS snippet,
+CASE WHEN length(o.t) <= 700 THEN o.t WHEN length(o.t) <= 540 THEN o.t WHEN length(o.w) <= 700 THEN o.w ELSE regexp_replace(substring(o.w, 1, 699), '{_END}', '') || '…' END AS bounded FROM s JOIN o ON s.i = o.i""")
 def snippet(spark, d):
     q = F.concat(F.lit("CVE-2021-"), (1000 + F.col("doc_id")).cast("string"))
-    return markdown(spark, d).select("doc_id", P.snippet(F.col("text"), q, 400).alias("snippet"), P.bounded(F.col("text"), q, 700).alias("bounded"))
+    return markdown(spark, d).select("doc_id", A.snippet(F.col("text"), q, 400).alias("snippet"), A.bounded(F.col("text"), q, 700).alias("bounded"))
 
 
 @query()
@@ -342,9 +360,15 @@ def stale_anti_join(spark, d):
     return I.stale(*_manifests(spark, d), "url")
 
 
-@query()
+@query(f"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {_STRIP('x')}), lambda x: x <> '') AS p FROM documents),
+f AS (SELECT doc_id, list_reduce(list_transform(p, lambda x: {{'full': CAST([] AS VARCHAR[]), 'open': x}}), lambda s, x: CASE
+  WHEN length(CASE WHEN s.open = '' THEN x.open ELSE s.open || chr(10) || chr(10) || x.open END) <= 500 THEN {{'full': s.full, 'open': CASE WHEN s.open = '' THEN x.open ELSE s.open || chr(10) || chr(10) || x.open END}}
+  ELSE {{'full': list_concat(CASE WHEN s.open = '' THEN s.full ELSE list_append(s.full, s.open) END, list_transform(range(0, (length(x.open) - 1) // 500), lambda k: substring(x.open, k * 500 + 1, 500))), 'open': substring(x.open, ((length(x.open) - 1) // 500) * 500 + 1, 500)}} END,
+  {{'full': CAST([] AS VARCHAR[]), 'open': ''}}) AS s FROM p WHERE len(p) > 0)
+SELECT doc_id, k AS "at", length(c) AS n_chars, sha256(c) AS sha FROM (SELECT doc_id, generate_subscripts(c, 1) - 1 AS k, unnest(c) AS c FROM (SELECT doc_id, list_append(s.full, s.open) AS c FROM f))""")
 def chunker(spark, d):
-    return I.chunked(table(spark, d, "documents").select(F.col("doc_id").alias("source"), "text")).select(F.col("source").alias("doc_id"), "at", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("source"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return I.chunked(docs).select(F.col("source").alias("doc_id"), "at", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha"))
 
 
 # vectors and evaluation ---------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import assemble as A
 from ..functions import text as T
 from ..operators import browse as B
 from ..operators import evaluation as E
@@ -16,7 +17,7 @@ from ..operators import retrieval as R
 from ..operators.delta import Index
 from ..sources import CHUNKS_SQL, chunks, numbered, table
 from ..sources.shared import shared_folder
-from .registry import _IDS, DOT, SQL, Q, query  # noqa: F401
+from .registry import _IDS, _W, DOT, SQL, Q, query  # noqa: F401
 
 PARTS = 64  # rows of a folder in the small tables that queries run on
 
@@ -82,6 +83,22 @@ def narrowed_topk(spark, d):
     return G.narrowed_topk(G.lay_out(rows.select("row", "embedding"), PARTS), sources, accepted, _queries(spark, d), G.NARROWED, PARTS)
 
 
+_SEAM = """(SELECT doc_id, left(t, 400) AS a, substring(t, CAST(least(400, length(t)) - doc_id % 350 + 1 AS BIGINT)) AS b FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE length(t) >= 400)"""
+
+
+@query(rf"""WITH s AS (SELECT *, string_split(a, chr(10)) AS x, string_split(b, chr(10)) AS y, right(a, 300) AS tail FROM {_SEAM}),
+n AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(x), len(y), 10) + 1), lambda k: x[len(x) - k + 1:] = y[1:k])), 0) AS run, coalesce(list_max(list_filter(range(12, least(length(tail), length(b)) + 1), lambda k: ends_with(tail, left(b, k)))), 0) AS same FROM s),
+r AS (SELECT doc_id, a, b, CASE WHEN run > 1 OR (run = 1 AND length(y[1]) >= 25) THEN CASE WHEN regexp_replace(array_to_string(y[run + 1:], chr(10)), '{_W}', '', 'g') = '' THEN '' ELSE chr(10) || array_to_string(y[run + 1:], chr(10)) END ELSE substring(b, same + 1) END AS rest FROM n)
+SELECT doc_id, CASE WHEN b = '' OR rest = '' THEN a ELSE a || chr(10) || chr(10) || rest END AS text FROM r""")
+def seam_merge(spark, d):
+    """The first 400 characters of each text and what follows them, but for up to 349 characters that stand in both, as one."""
+    t, i = F.coalesce("text", F.lit("")), F.col("doc_id")
+    docs = table(spark, d, "documents").select("doc_id", t.alias("t")).where(F.length("t") >= 400)
+    begin = (F.least(F.lit(400), F.length("t")) - i % 350 + 1).cast("int")
+    pieces = F.array(F.left("t", F.lit(400)), F.substring(F.col("t"), begin, F.length("t")))
+    return docs.select("doc_id", A.joined(pieces).alias("text"))
+
+
 @query()
 def mirror_clusters(spark, d):
     return M.clusters(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))

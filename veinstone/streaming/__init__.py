@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import folds as P
+from ..functions import assemble as A
 from ..functions import text as T
 from ..operators.ingest import should_import
 
@@ -20,7 +20,7 @@ def landing(spark: SparkSession, path: str) -> DataFrame:
 
 def clean_chunks(documents: DataFrame, limit: int = 500, late: str = "1 day") -> DataFrame:
     """source, at, text, sha, arrived: chunks that say something, each text once while its first arrival is within ``late``."""
-    parts = documents.withWatermark("arrived", late).select(F.col("path").alias("source"), "arrived", F.posexplode(P.chunked(F.col("text"), limit)).alias("at", "text"))
+    parts = documents.withWatermark("arrived", late).select(F.col("path").alias("source"), "arrived", F.posexplode(A.chunked(F.col("text"), limit)).alias("at", "text"))
     return parts.where(F.size(T.low_information(F.col("text"))) == 0).withColumn("sha", F.sha2("text", 256)).dropDuplicatesWithinWatermark(["sha"])
 
 
