@@ -87,6 +87,14 @@ def weight_gate(weights: DataFrame, threshold: float) -> DataFrame:
     return weights.select("weight", F.round(F.when(passes, threshold / (1 - F.col("weight"))), 6).alias("without"), F.round(F.when(passes, (threshold - F.col("weight")) / (1 - F.col("weight"))), 6).alias("with_full"))
 
 
+def weight_gate_passes(scores: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
+    """weight_gate's rows with pass_without and pass_with_full: how many of n scores (dense) pass the gate at each weight, a report's few."""
+    low = lambda less: (threshold - F.col("weight") * less) / (1 - F.col("weight"))
+    passes = lambda less: F.count(F.when(F.col("weight") < 1.0, F.when(F.col("dense") >= F.when(F.col("weight") < 1.0, low(less)), 1)))
+    counts = scores.select("dense").crossJoin(F.broadcast(weights)).groupBy("weight").agg(passes(0).alias("pass_without"), passes(1).alias("pass_with_full"), F.count("*").alias("n"))
+    return weight_gate(weights, threshold).join(counts, "weight")
+
+
 def weight_warning(weight: float | None, default: float, threshold: float) -> str | None:
     """What a weight above the default does to the gate, in words."""
     if weight is None or weight <= default + 0.05:

@@ -429,9 +429,11 @@ def gate_tradeoff(spark, d):
     return E.gate_tradeoff(_scores(spark, d))
 
 
-@query(f"SELECT weight, round(CASE WHEN weight < 1 THEN 0.45 / (1 - weight) END, 6) AS without, round(CASE WHEN weight < 1 THEN (0.45 - weight) / (1 - weight) END, 6) AS with_full FROM (SELECT CAST(unnest({list(E.WEIGHTS)}) AS DOUBLE) AS weight)")
+@query(f"""{_SCORES}, w AS (SELECT CAST(unnest({list(E.WEIGHTS)}) AS DOUBLE) AS weight) SELECT weight, round(CASE WHEN weight < 1 THEN 0.45 / (1 - weight) END, 6) AS without, round(CASE WHEN weight < 1 THEN (0.45 - weight) / (1 - weight) END, 6) AS with_full,
+count(*) FILTER (weight < 1 AND dense >= 0.45 / (1 - weight)) AS pass_without, count(*) FILTER (weight < 1 AND dense >= (0.45 - weight) / (1 - weight)) AS pass_with_full, count(*) AS n FROM w, sc GROUP BY weight""")
 def weight_gate(spark, d):
-    return E.weight_gate(spark.createDataFrame([(w,) for w in E.WEIGHTS], "weight double"), C.THRESHOLD)
+    weights = spark.createDataFrame([(w,) for w in E.WEIGHTS], "weight double")
+    return E.weight_gate_passes(_scores(spark, d), weights, C.THRESHOLD)
 
 
 @query(f"WITH {_RES} SELECT query_id, CASE WHEN negative THEN 'negative' ELSE 'mismatch' END AS label, CASE WHEN negative THEN CASE WHEN n > 0 THEN 'leaked' ELSE 'blocked' END ELSE CASE WHEN n > 0 THEN 'neighbour' ELSE 'no-neighbour' END END AS outcome FROM (SELECT q.query_id, q.negative, count(r.rank) AS n FROM qs q LEFT JOIN res r ON r.query_id = q.query_id AND r.score >= 0.3 GROUP BY ALL)")
