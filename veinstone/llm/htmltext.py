@@ -26,6 +26,7 @@ BLOCK = set("address article aside blockquote body center dd details dialog div
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"table", "ul", "ol", "dl", "article", "section", "div", "body", "html", "nav", "aside", "footer", "header", "main"}
 BOXES = {"div", "section", "table"}
+MEMBERS = {"a", "li", "tr", "td", "th", "dt", "dd"}  # come in numbers: what holds them speaks for them, not each of them anew
 HOLDERS = {"table", "ul", "ol", "dl", "body"}
 _UNFINISHED = re.compile(r"<[A-Za-z/!?]")
 
@@ -112,9 +113,9 @@ class Tree(HTMLParser):
 
 
 def features(node: _Node) -> list[str]:
-    """What an element shows of itself: its tag, its names and, of boxes and lists, the share of text in links. Lengths say nothing."""
+    """What an element shows of itself: its tag, but for members of lists, its names and, of boxes, the share of text in links. Lengths say nothing."""
     density = node.links / node.text if node.text else 0
-    out = [f"tag={node.tag}"] + [f"links={'all' if density > 0.8 else 'some' if density > 0.2 else 'none'}"] * (node.tag in BOXES)
+    out = [f"tag={node.tag}"] * (node.tag not in MEMBERS) + [f"links={'all' if density > 0.8 else 'some' if density > 0.2 else 'none'}"] * (node.tag in BOXES)
     return out + [f"name={w}" for w in sorted(set(node.names))]
 
 
