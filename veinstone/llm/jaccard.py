@@ -29,6 +29,7 @@ HOT = 200_000  # rows of a column, by the count of common n-grams, in one task;
 BLOCK = 1 << 16  # n-grams of a set in one block of the product, in the mean
 NAMED = 24  # bits that pick out the rows whose whole sets are wanted; others that share them are dropped by a join
 SKETCH = 16  # longs of parity bits
+TURNS = 2  # times that classes still apart are tried against one of another component
 CHARS = 1 << 20  # of text hashed at once
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SPACE = np.zeros(256, dtype=bool)
@@ -312,6 +313,15 @@ def _fits(na: str, nb: str, ia: str, ib: str) -> Column:
     return (na * DEN >= nb * NUM) & (nb * DEN >= na * NUM) & (most * (DEN + NUM) >= NUM * (na + nb))
 
 
+def _joined(roots: DataFrame, links: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """roots (node, root), their components joined by links (a, b) between nodes of different ones."""
+    ours = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+    between = links.join(ours("a"), "a", "left").join(ours("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
+    above = tables.write(name, _components(between))
+    inside = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return inside.union(above.join(roots.select("node"), "node", "left_anti"))
+
+
 def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of docs (doc_id, key, n, digest of the set, or null without shingles), and of digests with the first row of their component.
 
@@ -378,27 +388,40 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = tables.write("links", _linked(tables.write("near", near), docs, nodes))
     roots = tables.write("roots", _components(links))
 
-    # the entries between classes that the stars have not connected
-    named = columns.join(roots, "node", "left").select("gram", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-    split = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
-    open_cells = named.join(split, "gram").join(_sketches(nodes, "node", "x"), "node")
+    # what the stars leave apart gets other stars, each row with one of another component, before any pair of a column
+    tested = stars.select("a", "b")
     bits = [f"x{i}" for i in range(SKETCH)]
+    named = lambda: columns.join(roots, "node", "left").select("gram", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    for turn in range(TURNS):
+        lead = F.struct("root", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "at")
+        ends = named().groupBy("gram").agg(F.min(lead).alias("lo"), F.max(lead).alias("hi")).where("lo.root < hi.root")
+        apart = named().join(ends, "gram").withColumn("to", F.when(F.col("root") == F.col("lo.root"), F.col("hi")).otherwise(F.col("lo")))
+        fitting = apart.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("to.node").alias("b"), F.col("to.n").alias("nb"), F.col("to.at").alias("ib")).where(_fits("na", "nb", "ia", "ib"))
+        pairs = fitting.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") > F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+        close = pairs.join(_sketches(nodes, "a", "x"), "a").join(_sketches(nodes, "b", "y"), "b").where(_alike("na", "nb")).select("a", "b", "na", "nb")
+        fresh = tables.write(f"apart{turn}", close.join(tested, ["a", "b"], "left_anti"))
+        found = tables.write(f"found{turn}", _linked(fresh, docs, nodes))
+        tested = tested.union(fresh.select("a", "b"))
+        if found.isEmpty():
+            break
+        roots = tables.write(f"roots{turn}", _joined(roots, found, tables, f"above{turn}"))
+
+    # the entries between classes that are still apart
+    split = named().groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
+    open_cells = named().join(split, "gram").join(_sketches(nodes, "node", "x"), "node")
     x = open_cells.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("root").alias("ra"), *bits)
     y = open_cells.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("root").alias("rb"), *[F.col(c).alias(c.replace("x", "y")) for c in bits])
     rest = x.join(y, "gram").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & _fits("na", "nb", "ia", "ib") & _alike("na", "nb")).select("a", "b", "na", "nb").distinct()
-    rest = tables.write("rest", rest.join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = tables.write("rest", rest.join(tested, ["a", "b"], "left_anti"))
     more = tables.write("more", _linked(rest, docs, nodes))
-    if not more.isEmpty():  # joins whole components: their roots are the nodes
-        ours = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
-        between = more.join(ours("a"), "a", "left").join(ours("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
-        above = tables.write("above", _components(between))
-        inside = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        roots = inside.union(above.join(roots.select("node"), "node", "left_anti"))
+    if not more.isEmpty():
+        roots = tables.write("last", _joined(roots, more, tables, "above"))
 
     of_class = tables.write("classes", nodes.join(roots, "node", "left").select("digest", "doc_id", "key", F.coalesce("root", "node").alias("root")))
     firsts = of_class.groupBy("root").agg(_first())
     found = tables.write("found", of_class.select("digest", "root").join(firsts, "root").select("digest", "first"))
-    for name in ("common", "above", "nodes", "columns", "stars", "near", "links", "roots", "rest", "more", "classes"):
+    turns = [f"{name}{turn}" for turn in range(TURNS) for name in ("apart", "found", "roots", "above")]
+    for name in ("common", "above", "nodes", "columns", "stars", "near", "links", "roots", "rest", "more", "last", "classes", *turns):
         tables.drop(name)
     return rows.drop("sketch"), found
 
