@@ -83,3 +83,46 @@ def test_nearest_stops_early(spark):
     assert hits >= 0.9 * len(got) and nearest.search(df.limit(0)).count() == 0
     same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(60)], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in nearest.search(same).where("query_id = 20").orderBy("rank").collect()] == [i for i in range(21) if i != 20][:20]
+
+
+def test_nearest_of_spread_norms_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 48))
+    x *= np.exp(1.2 * rng.standard_normal((3000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    tree = nearest.Tree(np.arange(len(x)), x)
+    assert len(tree.bands) > 5 and sorted(np.concatenate([b.rows for b in tree.bands]).tolist()) == list(range(len(tree.points)))
+    asked = np.arange(0, 3000, 20)
+    hits = verified = opened = 0
+    for q, (best, v, o) in zip(asked, tree.search(x[asked], asked.tolist(), 20, nearest.quantile(nearest.CONFIDENCE)), strict=True):
+        wanted = [i for i in np.argsort(-(x @ x[q]), kind="stable").tolist() if i != q][:20]
+        hits, verified, opened = hits + len({i for _, i in best} & set(wanted)), verified + v, opened + o
+        assert best == sorted(best, key=lambda r: (-r[0], r[1])) and all(math.isclose(s, float(x[i] @ x[q]), rel_tol=1e-9, abs_tol=1e-12) for s, i in best)
+    assert hits >= 0.95 * 20 * len(asked) and verified < 0.3 * len(asked) * len(x) and opened < 0.7 * len(asked) * len(x)
+
+
+def test_nearest_verifies_in_order_of_projected_distance():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((600, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree, seen = nearest.Tree(np.arange(600), x), []
+
+    class Kept(nearest.Best):
+        def add(self, rows, scores):
+            seen.extend(rows.tolist())
+            super().add(rows, scores)
+
+    best = Kept(5, tree.matrix)
+    verified, opened = tree.bands[0].nearest(tree.points[0], 1.0, best, np.inf)  # without a test every point comes
+    assert verified == opened == len(seen) == len(set(seen)) == 600
+    away = ((np.column_stack((tree.points, np.sqrt(np.maximum(0, tree.bands[0].top ** 2 - (tree.points**2).sum(1))))) - np.append(tree.points[0] * tree.bands[0].top, 0)) @ tree.matrix) ** 2
+    seeds = nearest.FIRST * nearest.LEAF  # at most, and in order among themselves
+    rest = away.sum(1)[seen][seeds:]
+    assert (np.diff(rest) >= -1e-6).all()
+
+
+def test_nearest_of_odd_tables(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0], "q", 9), (0, [1.0, 2.0], "q", 9), (20, [2.0, 1.0], "r", 8), (1, [1.0, 2.0], None, None), (2, None, "x", 1), (3, [0.0, 0.0], "x", 1), (4, [nan, 1.0], "x", 1), (5, [inf, 1.0], "x", 1), (6, [None, 1.0], "x", 1), (None, [9.0, 9.0], "x", 1), (7, [1e-300, 0.0], "x", 1), (8, [1.0, 1.0, 1.0], "x", 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, rank int")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in nearest.search(df).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 20), (0, 3, 7), (20, 1, 0), (20, 2, 1), (20, 3, 7)]
