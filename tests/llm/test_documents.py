@@ -240,6 +240,7 @@ def test_language_of_runs_without_blanks(spark):
     two = langid.learn(spark.createDataFrame(rows[1:], "doc_id long, text string, lang string"))
     for a, b, x, y in zip(two.grams, whole.grams, two.gram_logs, whole.gram_logs, strict=True):
         assert a.keys() == b.keys() and all((abs(x[a[g]] - y[b[g]]) < 1e-9).all() for g in a)
+    assert all(t in model.words for t in (rows[1][1], rows[2][1], "cat")) and rows[1][1] not in two.grams[0]  # long runs are words too
     # what stands after the first 200 letters decides
     late = "天地" * 100 + run("いろはにほへとちりぬる", 900)
     assert [model.predict(t)[0] for t in (late, rows[1][1] * 2, rows[3][1] * 5)] == ["ja", "zh", "th"]

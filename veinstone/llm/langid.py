@@ -17,9 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 20_000  # labelled documents, in the mean, that a model is fitted on
-VOCABULARY = 60_000  # most frequent (word, language) pairs kept in a model
 GRAMS = (4, 3, 2, 1)
-LONG = 60  # letters; longer runs stay out of the table of words and teach their n-grams alone
+LONG = 60  # letters; n-grams of longer runs are counted by Spark, others' from the counts of the words; the sums are the same
 STEP = 200
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}+")
@@ -30,14 +29,14 @@ class Model:
     """Log frequencies of words and character n-grams in each language."""
 
     def __init__(self, counts: list[tuple[str, str, int]], long_grams: list[tuple[str, str, int]] = ()) -> None:
-        """counts: (lang, word, n); long_grams: (lang, n-gram, n) of the runs too long to be words of the table."""
+        """counts: (lang, word, n); long_grams: (lang, n-gram, n) of the words of over LONG letters, which counts has as words alone."""
         self.langs = sorted({lang for lang, _, _ in [*counts, *long_grams]})
         at = {lang: i for i, lang in enumerate(self.langs)}
         words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
         grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
         for lang, word, n in counts:
             words[word][at[lang]] += n
-            for size in GRAMS:
+            for size in GRAMS if len(word) <= LONG else ():
                 for i in range(len(word) - size + 1):
                     grams[word[i : i + size]][at[lang]] += n
         for lang, gram, n in long_grams:
@@ -87,12 +86,12 @@ class Model:
         return self.langs[best], 1 / sum(math.exp(max(-700.0, min(0.0, x - total[best]))) for x in total)
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY) -> Model:
-    """Fit on a sample of the rows of docs that have a text and a lang; its size and the vocabulary are bounded.
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """Fit on a sample of the rows of docs that have a text and a lang; the number of rows is bounded.
 
     Rows without either teach nothing and repeated rows count each time; without any labelled row the model knows no
     language. The sample is drawn by text and doc_id, so that one text on many rows is neither all in nor all out.
-    Runs of over LONG letters teach at most as many (n-gram, language) pairs as the vocabulary holds, the most frequent.
+    All words and n-grams of the sampled rows are learned, whole texts, however rare or long.
     """
     drawn_by = ["text", *(c for c in ("doc_id",) if c in docs.columns)]
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", *drawn_by)
@@ -100,15 +99,15 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOC
     if n > sample_docs:
         labelled = labelled.where(F.pmod(F.xxhash64(*drawn_by), F.lit(1 << 60)) < (1 << 60) * sample_docs // n)
     words = labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    most = lambda x, key: [tuple(r) for r in x.groupBy("lang", key).count().orderBy(F.desc("count"), "lang", key).limit(vocabulary).collect()]
+    counted = lambda x, key: list(zip(*(c.to_pylist() for c in x.groupBy("lang", key).count().toArrow().columns), strict=True))  # noqa: E731  of the sample
     # long runs go in steps, each with the letters that its last n-grams reach beyond it, so that no row holds all n-grams of a run
     starts = F.explode(F.sequence(F.lit(1), F.length("word"), F.lit(STEP))).alias("start")
     part = F.substring(F.col("word"), F.col("start"), F.lit(STEP + max(GRAMS) - 1)).alias("part")
     parts = words.where(F.length("word") > LONG).select("lang", "word", starts).select("lang", part)
     cut = lambda size: F.transform(F.sequence(F.lit(1), F.lit(STEP)), lambda i: F.substring(F.col("part"), i, F.lit(size)))
     whole = F.concat(*[F.filter(cut(size), lambda g: F.length(g) == F.lit(size)) for size in GRAMS])
-    long_grams = most(parts.select("lang", F.explode(whole).alias("gram")), "gram")
-    return Model(most(words.where(F.length("word") <= LONG), "word"), long_grams)
+    long_grams = counted(parts.select("lang", F.explode(whole).alias("gram")), "gram")
+    return Model(counted(words, "word"), long_grams)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
