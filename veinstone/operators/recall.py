@@ -29,15 +29,38 @@ def terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode(T.query_terms(F.col("text"))).alias("pos", "t")).select("query_id", "pos", "t.term", "t.alone")
 
 
+def _grams(text: Column, size: int) -> Column:
+    """Distinct runs of that many characters."""
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def path_hits(sources: DataFrame, words: DataFrame) -> DataFrame:
+    """term, source, start_row, end_row, every: the sources (source, start_row, end_row) whose lower-cased path holds a term of words.
+
+    Paths are indexed by their runs of two and three characters; each term is looked up by its rarest run alone and then
+    compared whole, so paths and terms meet by equality and never all with all. every is the term's number of hits.
+    Terms are distinct and have two characters at least.
+    """
+    low = F.lower(T.path(F.col("source")))
+    indexed = sources.select("source", "start_row", "end_row", low.alias("low"), F.explode(F.concat(_grams(low, 2), _grams(low, 3))).alias("gram"))
+    of_term = words.select("term", F.explode(F.when(F.length("term") >= 3, _grams(F.col("term"), 3)).otherwise(_grams(F.col("term"), 2))).alias("gram"))
+    few = words.count() * 128 <= BROADCAST_BYTES
+    sent = (lambda df: F.broadcast(df)) if few else (lambda df: df)  # a term has one rarest run, so this is no longer than words
+    counts = indexed.join(sent(of_term.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = of_term.join(counts, "gram").groupBy("term").agg(F.min(F.struct("n", "gram")).alias("least")).select("term", F.col("least.gram").alias("gram"))
+    hits = indexed.join(sent(rarest), "gram").where(F.contains("low", F.col("term"))).select("term", "source", "start_row", "end_row")
+    return hits.join(hits.groupBy("term").agg(F.count("*").alias("every")), "term")
+
+
 def path_recall(sources: DataFrame, queries: DataFrame, paths: int = PATHS, rows_per_path: int = ROWS_PER_PATH) -> DataFrame:
     """query_id, row, pos: the first rows of the sources (source, start_row, end_row) whose path holds terms of a query.
 
-    A path's score sums, over its terms, one over the number of paths that hold the term; ties go by path.
+    A path's score sums, over its terms, one over the number of paths that hold the term; ties go by path. A term that
+    a query repeats counts once.
     """
-    t = small(terms(queries), 128)
-    hits = sources.join(t, F.contains(F.lower(T.path(F.col("source"))), F.col("term"))).select("query_id", "term", "source", "start_row", "end_row")
-    seen = hits.groupBy("query_id", "term").agg(F.count("*").alias("every"))
-    scored = hits.join(seen, ["query_id", "term"]).groupBy("query_id", "source", "start_row", "end_row").agg(F.sum(1 / F.col("every")).alias("score"))
+    asked = terms(queries).select("query_id", "term").distinct()
+    hits = path_hits(sources, asked.select("term").distinct())
+    scored = hits.join(asked, "term").groupBy("query_id", "source", "start_row", "end_row").agg(F.sum(1 / F.col("every")).alias("score"))
     best = scored.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "source"))).where(F.col("at") <= paths)
     rows = F.explode(F.sequence("start_row", F.least(F.col("end_row"), F.col("start_row") + rows_per_path) - 1)).alias("row")
     return best.where("end_row > start_row").select("query_id", "at", rows).select("query_id", "row", (F.col("at") * (rows_per_path + 1) + F.row_number().over(Window.partitionBy("query_id", "at").orderBy("row"))).alias("pos"))
@@ -56,8 +79,18 @@ def identifier_recall(postings: DataFrame, queries: DataFrame, limit: int = ROWS
 
 
 def dense_pool(chunks: DataFrame, queries: DataFrame, size: int = POOL) -> DataFrame:
-    """query_id, row, dense, pos: each query's nearest rows."""
-    scored = chunks.crossJoin(small(queries.select("query_id", "vector"), 8192)).select("query_id", "row", F.round(dot(F.col("embedding"), F.col("vector")), 6).alias("dense"))
+    """query_id, row, dense, pos: each query's nearest rows.
+
+    Queries beyond the broadcast bound are dealt to blocks, and each block meets the chunks in a join by block.
+    """
+    asked, n = queries.select("query_id", "vector"), queries.count()
+    blocks = -(-n * 8192 // BROADCAST_BYTES)
+    if blocks <= 1:
+        met = chunks.crossJoin(F.broadcast(asked))
+    else:
+        every = chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = every.join(asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "_block")
+    scored = met.select("query_id", "row", F.round(dot(F.col("embedding"), F.col("vector")), 6).alias("dense"))
     return scored.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("dense"), "row"))).where(F.col("pos") <= size)
 
 

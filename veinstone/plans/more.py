@@ -15,7 +15,7 @@ from ..operators import ingest as I
 from ..operators import recall as C
 from ..operators import retrieval as R
 from ..sources import CHUNKS_SQL, chunks, numbered, table
-from .registry import _IDS, _W, DOT, SQL, Q, query  # noqa: F401  the registry with this module's queries
+from .registry import _IDS, _LOW, _W, DOT, SQL, Q, query  # noqa: F401  the registry with this module's queries
 
 _NOT = r"[^\p{L}\p{N}_]"
 
@@ -39,10 +39,15 @@ _MD = f"""(SELECT doc_id, list_extract({_PLACES}, CAST(doc_id % {len(_PLACES)} +
  || ' on x86_64 linux, flag{{AbC_' || {_S('doc_id')} || 'xyz9}} [page](../a/b' || {_S('doc_id')} || E'.md#x)<!-- gone -->\\n\\n\\n\\n\\nend\\n' AS text FROM documents)"""
 
 
+def _asked_plain(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, text: every document whose id is divisible by 100 asks for its source, its name and one word."""
+    name = F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string"), F.lit(" doc-"), F.col("doc_id").cast("string"), F.lit(" the"))
+    return table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), name.alias("text"))
+
+
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    """query_id, text, vector: every document whose id is divisible by 100 asks for its source, its name and one word."""
-    docs = table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string"), F.lit(" doc-"), F.col("doc_id").cast("string"), F.lit(" the")).alias("text"))
-    return docs.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    """_asked_plain with the vector of each query that has one."""
+    return _asked_plain(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
 
 
 _ASKED = f"(SELECT doc_id AS query_id, ['src' || {_S('doc_id % 20')}, 'doc-' || {_S('doc_id')}, 'the'] AS terms, e.embedding AS vector FROM documents JOIN embeddings e ON doc_id = vec_id WHERE doc_id % 100 = 0)"
@@ -226,10 +231,33 @@ def evidence(spark, d):
     return C.evidence(_ranked(spark, d)[0], 5, 0.2).select("query_id", "rank", "row", "source", "score")
 
 
-@query()
+_PASSED = """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, row, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, CASE WHEN coalesce(source, '') = '' THEN 'row:' || row ELSE source END ORDER BY rank) AS s
+FROM r JOIN ({low}) low ON low.doc_id = r.row WHERE reasons = '' AND {gate}) WHERE s = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5"""
+
+
+@query(f"WITH {_LEXPOOL} {_PASSED.format(low=_LOW, gate='score >= 0.2')}")
+def evidence_with_mirrors(spark, d):
+    """Evidence of which mirrors stay, so that SQL can tell it."""
+    return C.evidence(_ranked(spark, d)[0], 5, 0.2, mirrors=False).select("query_id", "rank", "row", "score")
+
+
+_PLAIN = f"(SELECT doc_id AS query_id, ['src' || {_S('doc_id % 20')}, 'doc-' || {_S('doc_id')}, 'the'] AS terms FROM documents WHERE doc_id % 100 = 0)"
+_FALLBACK = f"""ir AS (SELECT query_id, row, row_number() OVER (PARTITION BY query_id ORDER BY place, row) AS pos FROM (SELECT query_id, row, min(place) AS place FROM (SELECT q.query_id, place, unnest(list_slice(p.rows, 1, {C.ROWS_PER_IDENTIFIER})) AS row
+ FROM (SELECT query_id, unnest([1, 2]) AS place, unnest(list_sort(terms[1:2])) AS token FROM {_PLAIN}) q JOIN {_POST} p ON q.token = p.token WHERE length(q.token) >= 4) GROUP BY ALL)),
+ph AS (SELECT query_id, term, c.path, c.doc_id FROM (SELECT query_id, unnest(terms) AS term FROM {_PLAIN}) q JOIN {CHUNKS_SQL} c ON contains(lower(c.path), term)),
+ps AS (SELECT query_id, path, doc_id, sum(1.0 / n) AS score FROM (SELECT *, count(*) OVER (PARTITION BY query_id, term) AS n FROM ph) GROUP BY ALL),
+pr AS (SELECT query_id, doc_id AS row, pos FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, path) AS pos FROM ps) WHERE pos <= {C.PATHS}),
+u AS (SELECT * FROM (SELECT query_id, row, 0 AS stage, pos FROM ir UNION ALL SELECT query_id, row, 1, pos FROM pr) QUALIFY row_number() OVER (PARTITION BY query_id, row ORDER BY stage, pos) = 1),
+cand AS (SELECT u.query_id, row_number() OVER (PARTITION BY u.query_id ORDER BY stage, pos) AS cand_pos, u.row, coalesce(c.path, '') AS source, c.text, 0.0 AS dense, q.terms FROM u JOIN {CHUNKS_SQL} c ON u.row = c.doc_id JOIN {_PLAIN} q ON q.query_id = u.query_id)"""
+_FALLBACK_RANKED = _LEXPOOL.replace(_CAND, _FALLBACK).split("\nr AS")[0].rstrip(",") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_pos) AS rank FROM (SELECT *, round(lexical, 6) AS score FROM l) WHERE score > 0)"
+
+
+@query(f"WITH {_FALLBACK_RANKED} {_PASSED.format(low=_LOW, gate='TRUE')}")
 def lexical_fallback(spark, d):
-    asked = _asked(spark, d)
-    found = C.lexical_fallback(_rows(spark, d), asked, [C.identifier_recall(_postings(spark, d), asked), C.path_recall(_sources(spark, d), asked)], 5)
+    """Without vectors: every document may be recalled, and every hundredth one asks, whether it has a vector or not."""
+    asked = _asked_plain(spark, d)
+    rows = chunks(spark, d).select(F.col("doc_id").alias("row"), F.col("path").alias("source"), "text")
+    found = C.lexical_fallback(rows, asked, [C.identifier_recall(_postings(spark, d), asked), C.path_recall(_sources(spark, d), asked)], 5)
     return found.select("query_id", "rank", "row", "score")
 
 
