@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
 from ..sources.shared import shared_folder
+from .nearby import nearest
 
 STEP = 4  # bits between the widths of buckets: a span lies in 17 buckets at most
 PART = 4096  # rows of one part of a laid-out table
@@ -94,18 +93,7 @@ def merged_spans(spans: DataFrame, size: int = PART) -> DataFrame:
 def narrowed_topk(laid: DataFrame, sources: DataFrame, accepted: Column, queries: DataFrame, k: int = NARROWED, size: int = PART) -> DataFrame:
     """query_id, row, dense, rank of each query's pool (query_id, vector) among the rows of the sources that a filter accepts.
 
-    The filter sees sources (source, start_row, end_row) alone; vectors of other folders are never read. Few queries
-    are sent to all rows; more than SENT of them are dealt to blocks.
+    The filter sees sources (source, start_row, end_row) alone; vectors of other folders are never read.
     """
     rows = narrowed(laid, merged_spans(sources.where(accepted), size), size)
-    scored = paired(rows, queries).select("query_id", "row", F.round(dot(F.col("embedding"), F.col("vector")), 6).alias("dense"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("dense"), "row"))).where(F.col("rank") <= k)
-
-
-def paired(rows: DataFrame, queries: DataFrame, sent: int = 4096) -> DataFrame:
-    """Every row with every query: queries go out in blocks of some that many, each block to all rows by an equal number."""
-    blocks = max(1, math.ceil(queries.count() / sent))
-    if blocks == 1:
-        return rows.crossJoin(F.broadcast(queries))  # at most that many queries
-    dealt = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return dealt.join(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "_block").drop("_block")
+    return nearest(rows, queries, k)
