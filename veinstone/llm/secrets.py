@@ -184,8 +184,8 @@ def fit(docs: DataFrame) -> Model:
     so that words and not texts are shuffled; without any word the findings are made of syllables.
     """
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z])[a-z]{3,20}(?![a-z])"), F.lit(0)))
-    texts = docs.where(F.col("text").isNotNull()).select(text_key().alias("key"), found.alias("words")).dropDuplicates(["key"])
-    words = texts.select(F.explode(F.when(F.size("words") > 0, F.array_append("words", F.lit(""))).otherwise(F.array(F.lit("")))).alias("word"))
+    texts = docs.where(F.col("text").isNotNull()).select(text_key().alias("key"), F.array_join(found, " ").alias("words")).dropDuplicates(["key"])  # as one string, a shuffle takes less
+    words = texts.select(F.explode(F.split(F.when(F.col("words") == "", "").otherwise(F.concat("words", F.lit(" "))), " ")).alias("word"))
     counts = words.groupBy("word").count()  # the empty word counts the texts
     every = counts.where("word = ''").select(F.col("count").alias("n"))
     kept = counts.where("word <> ''").crossJoin(F.broadcast(every)).where((F.col("count") >= TEXTS) & (F.col("count") * OF >= F.col("n") * TEXTS))
