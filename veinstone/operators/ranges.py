@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, written
 from .nearby import nearest
+from .recall import small
 
 STEP = 4  # bits between the widths of buckets: a span lies in 17 buckets at most
-PART = 4096  # rows of one part of a laid-out table
+PART = 4096  # rows of one stretch of a laid-out table; stretches are dealt to its folders in turn
+FOLDERS = 256  # folders of a laid-out table at most, whatever its rows, since each one costs a file and a listing
 LISTED = 10_000  # parts that a scan names; where more are wanted, the join alone picks the rows
 NARROWED = 1200  # fixed value: rows of a query's pool under filters
 
@@ -51,10 +53,23 @@ def span_join(rows: DataFrame, spans: DataFrame) -> DataFrame:
     return dealt.join(cut, ["_level", "_bucket"]).where((F.col("row") >= F.col("start_row")) & (F.col("row") < F.col("end_row"))).drop("_level", "_bucket")
 
 
+def _stretch(row: Column, size: int) -> Column:
+    return F.floor(row / size).cast("long")
+
+
+def _folder(stretch: Column) -> Column:
+    return F.pmod(stretch, F.lit(FOLDERS)).cast("long")
+
+
+def stretch_size(rows: DataFrame, least: int = PART) -> int:
+    """Rows of a stretch with which a table of neighbouring rows fills its folders once, so that each holds one stretch."""
+    return max(least, -(-rows.count() // FOLDERS))
+
+
 def lay_out(rows: DataFrame, size: int = PART) -> DataFrame:
-    """rows (row, ...) written to the shared folder in folders of that many neighbouring rows, and read again with _part, the folder's number."""
+    """rows (row, ...) written to the shared folder, stretches of that many neighbouring rows dealt to FOLDERS folders in turn, and read again with _part, the folder's number."""
     path = f"{shared_folder(rows.sparkSession)}/laid-{uuid.uuid4().hex}"
-    placed = rows.withColumn("_part", F.floor(F.col("row") / size).cast("long"))
+    placed = rows.withColumn("_part", _folder(_stretch(F.col("row"), size)))
     placed.repartition("_part").sortWithinPartitions("_part", "row").write.partitionBy("_part").parquet(path)
     return rows.sparkSession.read.schema(placed.schema).parquet(path)
 
@@ -67,24 +82,24 @@ def _parts(laid: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def late_fetch(laid: DataFrame, wanted: DataFrame, size: int = PART) -> DataFrame:
     """wanted (row, ...) with the columns of laid: text and the like are read for these rows alone, from their folders alone."""
-    named = wanted.withColumn("_part", F.floor(F.col("row") / size).cast("long"))
-    return named.join(_parts(laid, named), ["_part", "row"]).drop("_part")
+    named = written(wanted.withColumn("_part", _folder(_stretch(F.col("row"), size))))  # read for its folders, its size and the join
+    return small(named).join(_parts(laid, named), ["_part", "row"]).drop("_part")
 
 
 def narrowed(laid: DataFrame, spans: DataFrame, size: int = PART) -> DataFrame:
     """The rows of laid inside disjoint spans (start_row, end_row), read from the folders that these touch alone."""
-    parts = F.sequence(F.floor(F.col("start_row") / size), F.floor((F.col("end_row") - 1) / size)).cast("array<long>")
-    cut = spans.where("start_row < end_row").select("start_row", "end_row", F.explode(parts).alias("_part"))
+    parts = F.sequence(_stretch(F.col("start_row"), size), _stretch(F.col("end_row") - 1, size))
+    cut = spans.where("start_row < end_row").select("start_row", "end_row", F.explode(parts).alias("_stretch"))
     inside = (F.col("row") >= F.col("start_row")) & (F.col("row") < F.col("end_row"))
-    held = _parts(laid, cut).join(cut, "_part").where(inside)
-    return held.drop("_part", "start_row", "end_row")
+    read = _parts(laid, cut.select(_folder(F.col("_stretch")).alias("_part"))).withColumn("_stretch", _stretch(F.col("row"), size))
+    return read.join(cut, "_stretch").where(inside).drop("_part", "_stretch", "start_row", "end_row")
 
 
 def merged_spans(spans: DataFrame, size: int = PART) -> DataFrame:
-    """Disjoint spans of a source dimension, those of one folder that touch each other joined to one."""
+    """Disjoint spans of a source dimension, those of one stretch that touch each other joined to one."""
     cut = spans.where("start_row < end_row").select(F.explode(F.sequence(F.floor(F.col("start_row") / size), F.floor((F.col("end_row") - 1) / size)).cast("array<long>")).alias("_part"), "start_row", "end_row")
     own = cut.select("_part", F.greatest("start_row", F.col("_part") * size).alias("start_row"), F.least("end_row", (F.col("_part") + 1) * size).alias("end_row"))
-    order = Window.partitionBy("_part").orderBy("start_row", "end_row")  # a folder's rows at most
+    order = Window.partitionBy("_part").orderBy("start_row", "end_row")  # a stretch's rows at most
     reached = own.withColumn("_top", F.max("end_row").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     group = F.sum(F.when(F.col("start_row") <= F.col("_top"), 0).otherwise(1)).over(order)
     return reached.withColumn("_g", group).groupBy("_part", "_g").agg(F.min("start_row").alias("start_row"), F.max("end_row").alias("end_row")).select("start_row", "end_row")

@@ -19,7 +19,7 @@ from ..sources import CHUNKS_SQL, chunks, numbered, table
 from ..sources.shared import shared_folder
 from .registry import _IDS, _W, DOT, SQL, Q, query  # noqa: F401
 
-PARTS = 64  # rows of a folder in the small tables that queries run on
+PARTS = 64  # rows of a stretch in the small tables that queries run on; larger tables have longer ones
 
 
 def _by_id(spark: SparkSession, d: str) -> DataFrame:
@@ -65,9 +65,10 @@ def quantized_topk(spark, d):
 @query(f"SELECT t.query_id, t.rank, t.row, sha256(c.text) AS sha FROM {_TOP} t JOIN {CHUNKS_SQL} c ON c.doc_id = t.row")
 def late_fetch(spark, d):
     """Ranks first, texts after: the texts of the ranked rows alone are read."""
-    texts = G.lay_out(chunks(spark, d).select(F.col("doc_id").alias("row"), "text"), PARTS)
+    texts = chunks(spark, d).select(F.col("doc_id").alias("row"), "text")
+    size = G.stretch_size(texts, PARTS)
     ranked = Z.topk(_vectors(spark, d), _queries(spark, d), 20)
-    return G.late_fetch(texts, ranked.select("query_id", "rank", "row"), PARTS).select("query_id", "rank", "row", F.sha2("text", 256).alias("sha"))
+    return G.late_fetch(G.lay_out(texts, size), ranked.select("query_id", "rank", "row"), size).select("query_id", "rank", "row", F.sha2("text", 256).alias("sha"))
 
 
 _PLACED = f"(SELECT row_number() OVER (ORDER BY path, doc_id) - 1 AS row, path AS source, embedding FROM {CHUNKS_SQL} c JOIN embeddings e ON c.doc_id = e.vec_id)"
@@ -80,7 +81,8 @@ def narrowed_topk(spark, d):
     rows = numbered(chunks(spark, d).join(_vectors(spark, d), F.col("doc_id") == F.col("row")).select("doc_id", F.col("path").alias("source"), "embedding"), "source", "doc_id")
     sources = rows.groupBy("source").agg(F.min("row").alias("start_row"), (F.max("row") + 1).alias("end_row"))
     accepted = (R.path_filter(F.col("source"), category="src4") | R.path_filter(F.col("source"), category="src5")) & R.path_filter(F.col("source"), exclude=["src4/fr"])
-    return G.narrowed_topk(G.lay_out(rows.select("row", "embedding"), PARTS), sources, accepted, _queries(spark, d), G.NARROWED, PARTS)
+    size = G.stretch_size(rows, PARTS)
+    return G.narrowed_topk(G.lay_out(rows.select("row", "embedding"), size), sources, accepted, _queries(spark, d), G.NARROWED, size)
 
 
 _SEAM = """(SELECT doc_id, left(t, 400) AS a, substring(t, CAST(least(400, length(t)) - doc_id % 350 + 1 AS BIGINT)) AS b FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE length(t) >= 400)"""
