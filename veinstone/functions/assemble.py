@@ -7,18 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import HANZI, TOKEN, WHITE
+from .text import HANZI, TOKEN, WHITE, let
 
 # Overlaps, windows and look-around in characters or lines.
 SEAM_LINES, SEAM_SUBSTANCE, OVERLAP_LEAST, OVERLAP_MOST = 10, 25, 12, 300
 LOOK, MARGIN, LEAST_FALLBACK, MARK = 80, 160, 32, "…"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """An expression over a value that is worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def trimmed(text: Column, ends: str = "^{0}+|{0}+\\z") -> Column:
     return F.regexp_replace(text, f"(?U){ends.format(WHITE)}", "")
 

@@ -78,7 +78,7 @@ def document_page(chunks: DataFrame, source: str, cursor: int = 0, size: int = 1
     shown = placed.groupBy("source").agg(F.sort_array(F.collect_list(F.when(F.col("at") < cursor + size, F.struct("at", "text")))).alias("t"), F.count(F.when(F.col("at") == cursor + size, 1)).alias("more"))
     whole = shown.select("source", A.joined(F.transform("t", lambda x: x["text"])).alias("text"), F.size("t").alias("chunks"), F.when(F.col("more") > 0, F.lit(cursor + size)).alias("next_cursor"))
     clean = T.strip_images(T.strip_provenance(F.col("text")))
-    return whole.select("source", A.bounded(clean, F.substring_index("source", "/", -1), most).alias("text"), "chunks", "next_cursor", T.provenance(F.col("text")).alias("provenance"), T.images(F.col("text")).alias("images"))
+    return whole.select("source", T.let(clean, lambda t: A.bounded(t, F.substring_index("source", "/", -1), most)).alias("text"), "chunks", "next_cursor", T.provenance(F.col("text")).alias("provenance"), T.images(F.col("text")).alias("images"))
 
 
 def chunk_row(chunk_id: str, corpus: str) -> int:
@@ -124,4 +124,4 @@ def annotated(rows: DataFrame, kind: str | None = None, most: int = MOST, query:
     text = F.col("text")
     noted = rows.withColumns({"facts": T.facts(text), "origin": T.origin(F.col("source")), "flags": T.flags(text), "screenshots": T.screenshots(text), "images": T.images(text), "provenance": T.provenance(text)})
     noted = noted.withColumn("segments", T.segments(text, kind)) if kind else noted
-    return noted.withColumn("text", A.bounded(T.strip_images(T.strip_provenance(text)), F.col(query) if query else F.lit(""), most))
+    return noted.withColumn("text", T.let(T.strip_images(T.strip_provenance(text)), lambda t: A.bounded(t, F.col(query) if query else F.lit(""), most)))
