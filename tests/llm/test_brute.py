@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 
@@ -126,3 +127,21 @@ def test_nearest_of_odd_tables(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, rank int")
     got = [(r.query_id, r["rank"], r.vec_id) for r in nearest.search(df).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 20), (0, 3, 7), (20, 1, 0), (20, 2, 1), (20, 3, 7)]
+
+
+def test_language_model_is_small():
+    """A model of many words is built without an array for each, and sent without an object for each."""
+    import pickle
+    import tracemalloc
+
+    r = random.Random(4)
+    counts = [(r.choice(["de", "en", "fr", "zh"]), "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 9))), r.randint(1, 5)) for _ in range(40_000)]
+    tracemalloc.start()
+    model = langid.Model(counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak / (len(model.words) + sum(map(len, model.grams))) < 300
+    sent = pickle.loads(pickle.dumps(model))
+    assert (sent.words, sent.grams, sent.langs) == (model.words, model.grams, model.langs)
+    assert [sent.predict(t) for t in ("abc pon", "q", "", None)] == [model.predict(t) for t in ("abc pon", "q", "", None)]
+    assert pickle.loads(pickle.dumps(langid.Model([]))).predict("abc") == ("und", 0.0)

@@ -7,11 +7,13 @@ n-grams, from four characters down to one, over its whole length.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from array import array
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,36 +27,62 @@ _WORD = regex.compile(r"\p{L}+")
 SCHEMA = "lang_pred string, score double"
 
 
+class Counts:
+    """Counts of keys in each language: a number for each key, and the counts side by side, without an object for each."""
+
+    def __init__(self, langs: int) -> None:
+        self.langs, self.rows, self.cells = langs, {}, array("d")
+
+    def add(self, key: str, lang: int, n: int) -> None:
+        row = self.rows.setdefault(key, len(self.rows))
+        if row * self.langs == len(self.cells):
+            self.cells.extend([0.0] * self.langs)
+        self.cells[row * self.langs + lang] += n
+
+    def logs(self) -> tuple[dict[str, int], np.ndarray]:
+        """The row of each key, and rows of log frequencies by language."""
+        if not self.rows:
+            return {}, np.zeros((0, 0))
+        rows = np.frombuffer(self.cells).reshape(-1, self.langs) + 0.5
+        return self.rows, np.log(rows) - np.log(rows.sum(axis=0))
+
+
+class Rows:
+    """The rows of an Arrow table as tuples, a batch at a time, as often as they are asked for."""
+
+    def __init__(self, held: pa.Table) -> None:
+        self.held = held
+
+    def __iter__(self) -> Iterator[tuple]:
+        for batch in self.held.to_batches(max_chunksize=8192):
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
 class Model:
     """Log frequencies of words and character n-grams in each language."""
 
-    def __init__(self, counts: list[tuple[str, str, int]], long_grams: list[tuple[str, str, int]] = ()) -> None:
-        """counts: (lang, word, n); long_grams: (lang, n-gram, n) of the words of over LONG letters, which counts has as words alone."""
-        self.langs = sorted({lang for lang, _, _ in [*counts, *long_grams]})
+    def __init__(self, counts: Iterable[tuple[str, str, int]], long_grams: Iterable[tuple[str, str, int]] = ()) -> None:
+        """counts: (lang, word, n); long_grams: (lang, n-gram, n) of the words of over LONG letters, which counts has as words alone. Both are read twice."""
+        self.langs = sorted({lang for rows in (counts, long_grams) for lang, _, _ in rows})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
-        grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
+        words, grams = Counts(len(at)), {size: Counts(len(at)) for size in GRAMS}
         for lang, word, n in counts:
-            words[word][at[lang]] += n
+            words.add(word, at[lang], n)
             for size in GRAMS if len(word) <= LONG else ():
                 for i in range(len(word) - size + 1):
-                    grams[word[i : i + size]][at[lang]] += n
+                    grams[size].add(word[i : i + size], at[lang], n)
         for lang, gram, n in long_grams:
-            grams[gram][at[lang]] += n
-        self.words, self.word_logs = self._logs(words)
-        self.grams, self.gram_logs = [], []
-        for size in GRAMS:
-            at_size, logs = self._logs({g: v for g, v in grams.items() if len(g) == size})
-            self.grams.append(at_size)
-            self.gram_logs.append(logs)
-
-    @staticmethod
-    def _logs(counts: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
-        """The row of each key, and rows of log frequencies by language."""
-        if not counts:
-            return {}, np.zeros((0, 0))
-        rows = np.array(list(counts.values())) + 0.5
-        return {k: i for i, k in enumerate(counts)}, np.log(rows) - np.log(rows.sum(axis=0))
+            grams[len(gram)].add(gram, at[lang], n)
+        self.words, self.word_logs = words.logs()
+        self.grams, self.gram_logs = map(list, zip(*(grams[size].logs() for size in GRAMS), strict=True))
+
+    def __getstate__(self) -> dict:
+        """Keys as one string for each table, since a pickle remembers every string that it holds."""
+        return {**self.__dict__, "words": "\n".join(self.words), "grams": ["\n".join(g) for g in self.grams]}
+
+    def __setstate__(self, state: dict) -> None:
+        numbered = lambda keys: {k: i for i, k in enumerate(keys.split("\n"))} if keys else {}  # noqa: E731  of letters alone
+        self.__dict__.update(state, words=numbered(state["words"]), grams=[numbered(g) for g in state["grams"]])
 
     def backoff(self, word: str) -> np.ndarray | float:
         """The mean over the longest n-grams of which the model knows any; nothing if it knows none."""
@@ -99,7 +127,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     if n > sample_docs:
         labelled = labelled.where(F.pmod(F.xxhash64(*drawn_by), F.lit(1 << 60)) < (1 << 60) * sample_docs // n)
     words = labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counted = lambda x, key: list(zip(*(c.to_pylist() for c in x.groupBy("lang", key).count().toArrow().columns), strict=True))  # noqa: E731  of the sample
+    counted = lambda x, key: Rows(x.groupBy("lang", key).count().toArrow())  # noqa: E731  of the sample
     # long runs go in steps, each with the letters that its last n-grams reach beyond it, so that no row holds all n-grams of a run
     starts = F.explode(F.sequence(F.lit(1), F.length("word"), F.lit(STEP))).alias("start")
     part = F.substring(F.col("word"), F.col("start"), F.lit(STEP + max(GRAMS) - 1)).alias("part")
