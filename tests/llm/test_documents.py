@@ -1,6 +1,7 @@
 """The document operators against brute force, and over nulls, empty texts, ties and clashing columns."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -54,6 +55,27 @@ def test_jaccard_chains(spark):
     assert got == brute_classes(docs)
 
 
+def test_jaccard_near_copies(spark, monkeypatch):
+    """A group of texts that link in part leaves no more pairs than rows to the last step, which compares within columns."""
+    rng, counts, write = random.Random(3), {}, jaccard.Tables.write
+
+    def counted(self, name, df):
+        out = write(self, name, df)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard.Tables, "write", counted)
+    docs = []
+    for i in range(150):
+        words = [f"w{k}" for k in range(200)]
+        for k in rng.sample(range(200), 3):
+            words[k] = f"x{i}_{k}"
+        docs.append((i, " ".join(words)))
+    got = {tuple(r) for r in jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_classes(docs)
+    assert counts["rest"] <= len(docs)  # 1888 when rows were tried against two components alone
+
+
 def test_jaccard_edges(spark, odd):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(odd).collect()), key=str)
     assert (1, 0, 1) in got and (2, 0, 2) in got and (4, 1, 3) in got and got.count((3, 1, 3)) == 2

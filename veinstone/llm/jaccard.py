@@ -29,8 +29,8 @@ HOT = 200_000  # rows of a column, by the count of common n-grams, in one task;
 BLOCK = 1 << 16  # n-grams of a set in one block of the product, in the mean
 NAMED = 24  # bits that pick out the rows whose whole sets are wanted; others that share them are dropped by a join
 SKETCH = 16  # longs of parity bits
-TURNS = 2  # times that classes still apart are tried against one of another component
-CHARS = 1 << 20  # of text hashed at once
+TURNS = 3  # times that classes still apart are tried against one of another component
+CHARS = 1 << 18  # of text hashed at once
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -176,10 +176,10 @@ def _common(docs: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
 
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         start = int(key[0]) << (32 - bits)
-        parts = [np.cumsum(np.frombuffer(r, np.uint16 if r[:1] == b"2" else np.uint32, offset=1), dtype=np.int64) + start for r in rows["run"]]
+        parts = [np.cumsum(np.frombuffer(r, np.uint16 if r[:1] == b"2" else np.uint32, offset=1), dtype=np.uint32) + np.uint32(start) for r in rows["run"]]
         values, n = np.unique(np.concatenate(parts), return_counts=True)
         often = n >= COMMON
-        return pd.DataFrame({"value": values[often], "n": n[often]})
+        return pd.DataFrame({"value": values[often].astype(np.int64), "n": n[often]})
 
     runs_of = docs.select(_name("doc_id", "key").alias("name"), "text").where(F.col("text").isNotNull()).mapInArrow(runs, "block long, run binary")
     return runs_of.groupBy("block").applyInPandas(count, "value long, n long")
@@ -306,11 +306,14 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array([x])) for x in (*lead, *lead[3:])], names)
 
 
+def _sized(na: str, nb: str) -> Column:
+    return (F.col(na) * DEN >= F.col(nb) * NUM) & (F.col(nb) * DEN >= F.col(na) * NUM)
+
+
 def _fits(na: str, nb: str, ia: str, ib: str) -> Column:
     """Size bounds, and what can follow the first n-gram that two sets share."""
-    na, nb = F.col(na), F.col(nb)
-    most = F.least(na - F.col(ia), nb - F.col(ib))
-    return (na * DEN >= nb * NUM) & (nb * DEN >= na * NUM) & (most * (DEN + NUM) >= NUM * (na + nb))
+    most = F.least(F.col(na) - F.col(ia), F.col(nb) - F.col(ib))
+    return _sized(na, nb) & (most * (DEN + NUM) >= NUM * (F.col(na) + F.col(nb)))
 
 
 def _joined(roots: DataFrame, links: DataFrame, tables: Tables, name: str) -> DataFrame:
@@ -388,15 +391,20 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = tables.write("links", _linked(tables.write("near", near), docs, nodes))
     roots = tables.write("roots", _components(links))
 
-    # what the stars leave apart gets other stars, each row with one of another component, before any pair of a column
+    # what the stars leave apart gets other stars, each row with one of another component, before any pair of a column;
+    # a column of two rows has no other pair than its star. Which components meet is drawn anew for each column and turn
     tested = stars.select("a", "b")
     bits = [f"x{i}" for i in range(SKETCH)]
-    named = lambda: columns.join(roots, "node", "left").select("gram", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    many = columns.groupBy("gram").agg(F.count("*").alias("k")).where("k > 2").select("gram")
+    wide = tables.write("wide", columns.join(many, "gram").select("gram", "node", "n", "at"))
+    tables.drop("columns")
+    named = lambda: wide.join(roots, "node", "left").select("gram", "node", "n", "at", F.coalesce("root", "node").alias("root"))
     for turn in range(TURNS):
-        lead = F.struct("root", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "at")
-        ends = named().groupBy("gram").agg(F.min(lead).alias("lo"), F.max(lead).alias("hi")).where("lo.root < hi.root")
+        drawn = lambda c: F.xxhash64(c, "gram", F.lit(turn))  # noqa: B023, E731
+        lead = F.struct(drawn("root").alias("g"), "root", drawn("node").alias("h"), "node", "n")
+        ends = named().groupBy("gram").agg(F.min(lead).alias("lo"), F.max(lead).alias("hi")).where("lo.root <> hi.root")
         apart = named().join(ends, "gram").withColumn("to", F.when(F.col("root") == F.col("lo.root"), F.col("hi")).otherwise(F.col("lo")))
-        fitting = apart.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("to.node").alias("b"), F.col("to.n").alias("nb"), F.col("to.at").alias("ib")).where(_fits("na", "nb", "ia", "ib"))
+        fitting = apart.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("to.node").alias("b"), F.col("to.n").alias("nb")).where(_sized("na", "nb"))
         pairs = fitting.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") > F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
         close = pairs.join(_sketches(nodes, "a", "x"), "a").join(_sketches(nodes, "b", "y"), "b").where(_alike("na", "nb")).select("a", "b", "na", "nb")
         fresh = tables.write(f"apart{turn}", close.join(tested, ["a", "b"], "left_anti"))
@@ -421,7 +429,7 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = of_class.groupBy("root").agg(_first())
     found = tables.write("found", of_class.select("digest", "root").join(firsts, "root").select("digest", "first"))
     turns = [f"{name}{turn}" for turn in range(TURNS) for name in ("apart", "found", "roots", "above")]
-    for name in ("common", "above", "nodes", "columns", "stars", "near", "links", "roots", "rest", "more", "last", "classes", *turns):
+    for name in ("common", "above", "nodes", "wide", "stars", "near", "links", "roots", "rest", "more", "last", "classes", *turns):
         tables.drop(name)
     return rows.drop("sketch"), found
 
