@@ -76,6 +76,53 @@ def test_jaccard_near_copies(spark, monkeypatch):
     assert counts["rest"] <= len(docs)  # 1888 when rows were tried against two components alone
 
 
+def test_jaccard_stragglers(spark, monkeypatch):
+    """Texts that link with part of a large group alone are tried against it, not it against each of them, and leave few pairs."""
+    rng, counts, write = random.Random(4), {}, jaccard.Tables.write
+
+    def counted(self, name, df):
+        out = write(self, name, df)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard.Tables, "write", counted)
+    docs = []
+    for i in range(180):
+        words = [f"w{k}" for k in range(200)]
+        for k in rng.sample(range(200), 1 if i < 120 else 9):
+            words[k] = f"x{i}_{k}"
+        docs.append((i, " ".join(words)))
+    got = {tuple(r) for r in jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_classes(docs)
+    assert sum(n for name, n in counts.items() if name == "rest" or re.match(r"apart\d", name)) <= len(docs)
+
+
+def test_jaccard_long_texts(spark):
+    """Sets of several blocks, and their smaller partners of one; repeated rows count once."""
+    words = [f"w{i}" for i in range(70_000)]
+    docs = [(i, " ".join(words[:n])) for i, n in enumerate((70_000, 60_000, 50_000, 30_000))]
+    got = {tuple(r) for r in jaccard.classes(spark.createDataFrame(docs + docs[:2], "doc_id long, text string")).collect()}
+    assert got == brute_classes(docs)
+
+
+def test_components(spark, monkeypatch):
+    """Tasks of a few edges each join chains, stars, repeated links and cycles as one task does."""
+    rng = random.Random(5)
+    links = [(i + 1, i) for i in range(40, 70)] + [(200 + rng.randrange(40), 200 + rng.randrange(40)) for _ in range(50)] + [(9, k) for k in (8, 7, 30)] * 2
+    links = [(max(x), min(x)) for x in links if x[0] != x[1]]
+    rng.shuffle(links)
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {(x, r) for x, r in root.items() if x != r}
+    pairs = spark.createDataFrame(links, "a long, b long").repartition(8)
+    for edges in (5, jaccard.EDGES):
+        monkeypatch.setattr(jaccard, "EDGES", edges)
+        assert {tuple(r) for r in jaccard._components(pairs).collect()} == want
+    assert jaccard._components(pairs.limit(0)).count() == 0
+
+
 def test_jaccard_edges(spark, odd):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(odd).collect()), key=str)
     assert (1, 0, 1) in got and (2, 0, 2) in got and (4, 1, 3) in got and got.count((3, 1, 3)) == 2

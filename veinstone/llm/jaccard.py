@@ -30,6 +30,7 @@ BLOCK = 1 << 16  # n-grams of a set in one block of the product, in the mean
 NAMED = 24  # bits that pick out the rows whose whole sets are wanted; others that share them are dropped by a join
 SKETCH = 16  # longs of parity bits
 TURNS = 3  # times that classes still apart are tried against one of another component
+EDGES = 1 << 18  # links that one task joins to components
 CHARS = 1 << 18  # of text hashed at once
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SPACE = np.zeros(256, dtype=bool)
@@ -122,10 +123,14 @@ def _sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _apart() -> Column:
+    """The bits that differ between the sketches x0, x1, ... and y0, y1, ..."""
+    return sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))).cast("long") for i in range(1, SKETCH)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))).cast("long"))
+
+
 def _alike(na: str, nb: str) -> Column:
     """Whether the sketches x0, x1, ... and y0, y1, ... leave room for the wanted overlap of sets of these sizes."""
-    apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))).cast("long") for i in range(1, SKETCH)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))).cast("long"))
-    return apart * (DEN + NUM) <= (F.col(na) + F.col(nb)) * (DEN - NUM)
+    return _apart() * (DEN + NUM) <= (F.col(na) + F.col(nb)) * (DEN - NUM)
 
 
 def _sketches(nodes: DataFrame, node: str, side: str) -> DataFrame:
@@ -185,11 +190,35 @@ def _common(docs: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
     return runs_of.groupBy("block").applyInPandas(count, "value long, n long")
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) to an edge from each of their nodes to the smallest that it reaches over them."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y]
+            x = y
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    apart = [(x, y) for x in list(root) if (y := find(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in apart], pa.int64()), pa.array([y for _, y in apart], pa.int64())], ["a", "b"])
+
+
 def _components(pairs: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable over pairs (a, b), by alternating large and small stars."""
-    mark = lambda edges: edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    edges, before = durable(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
-    while True:
+    """(node, root): the smallest node reachable over pairs (a, b).
+
+    Tasks of at most some EDGES edges join their own; where there are several, alternating large and small stars join theirs.
+    """
+    tasks = -(-pairs.count() // EDGES) or 1
+    edges = durable(pairs.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(tasks).mapInArrow(_forest, "a long, b long"))
+    while tasks > 1:
+        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
+            break  # stars alone
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -197,9 +226,7 @@ def _components(pairs: DataFrame) -> DataFrame:
         joined = large.join(low2, "a")
         small = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b")))
         edges = durable(small.where("a > b").distinct())
-        if (now := mark(edges)) == before:  # stars that a round leaves as they are
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _first() -> Column:
@@ -233,10 +260,10 @@ def _levels(n: int) -> int:
 
 
 def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, level, block and grams of the sets of wanted (node, name, digest), in blocks of hashes.
+    """name, digest, level, block and grams of the sets of wanted (name), in blocks of hashes.
 
     A set comes with the blocks of its own size and, where a larger partner would have more, with those too. A fixed
-    number of bits picks out the rows to send; what they let through beside is dropped by the join.
+    number of bits picks out the rows to send; what they let through beside finds no partner in the product.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_bits(wanted))
 
@@ -259,20 +286,26 @@ def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(rest, (pa.int64(), pa.binary(), pa.int32(), pa.int64()), strict=True)], lists], ["name", "digest", "level", "block", "grams"])
 
     sets = docs.select(_name("doc_id", "key").alias("name"), "text").where(F.col("text").isNotNull()).mapInArrow(cut, "name long, digest binary, level int, block long, grams array<long>")
-    return sets.join(wanted, ["name", "digest"]).groupBy("node", "level", "block").agg(F.first("grams").alias("grams"))
+    return sets.groupBy("name", "digest", "level", "block").agg(F.first("grams").alias("grams"))
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The entries (a, b, na, nb) whose overlap, summed over the blocks of the product, reaches the bound."""
+    """The entries (a, b, na, nb) whose overlap, summed over the blocks of the product, reaches the bound.
+
+    Sets are dealt once, by the keys of both joins; then those of b go to those of a.
+    """
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _blocks(docs, nodes.join(ends, "node").select("node", "name", "digest"))
+    sets = _blocks(docs, nodes.join(ends, "node").select("name"))
     level = F.greatest(F.floor((F.greatest("na", "nb") - 1) / BLOCK), F.lit(0)).cast("long")
+    half = F.when(F.col("level") == 0, F.lit(0)).otherwise(F.expr("shiftleft(1L, level - 1)")).cast("long")
     cells = pairs.withColumn("level", F.when(level == 0, 0).otherwise(F.length(F.bin(level))).cast("int"))
-    left = sets.select(F.col("node").alias("a"), "level", "block", F.col("grams").alias("ga"))
-    right = sets.select(F.col("node").alias("b"), "level", "block", F.col("grams").alias("gb"))
-
-    product = cells.join(left, ["a", "level"]).join(right, ["b", "level", "block"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("k"))
-    total = product.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
+    cells = cells.withColumn("block", F.explode(F.sequence(-half, F.greatest(half - 1, F.lit(0).cast("long")))))
+    for side in ("a", "b"):
+        cells = cells.join(nodes.select(F.col("node").alias(side), F.col("name").alias(f"name_{side}"), F.col("digest").alias(f"digest_{side}")), side)
+    for side in ("b", "a"):
+        ours = sets.select(F.col("name").alias(f"name_{side}"), F.col("digest").alias(f"digest_{side}"), "level", "block", F.col("grams").alias(f"g{side}"))
+        cells = cells.join(ours, [f"name_{side}", f"digest_{side}", "level", "block"]).drop(f"name_{side}", f"digest_{side}")
+    total = cells.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("k")).groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
     return total.where(F.col("k") * DEN >= (F.col("na") + F.col("nb") - F.col("k")) * NUM).select("a", "b")
 
 
@@ -316,6 +349,12 @@ def _fits(na: str, nb: str, ia: str, ib: str) -> Column:
     return _sized(na, nb) & (most * (DEN + NUM) >= NUM * (F.col(na) + F.col(nb)))
 
 
+def _ordered(a: str, b: str, na: str, nb: str) -> list[Column]:
+    """a, b, na and nb of a pair, the larger node first."""
+    first = F.col(a) > F.col(b)
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), F.when(first, F.col(na)).otherwise(F.col(nb)).alias("na"), F.when(first, F.col(nb)).otherwise(F.col(na)).alias("nb")]
+
+
 def _joined(roots: DataFrame, links: DataFrame, tables: Tables, name: str) -> DataFrame:
     """roots (node, root), their components joined by links (a, b) between nodes of different ones."""
     ours = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
@@ -386,13 +425,14 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = columns.where(F.col("parts") > 1).select("gram", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("atb").alias("ia")).distinct()
     over = heads.groupBy("gram").agg(F.min(F.struct("a", "na", "ia")).alias("m")).select("gram", F.col("m.a").alias("b"), F.col("m.na").alias("nb"), F.col("m.ia").alias("ib"))
     led = led.union(heads.join(over, "gram").where(F.col("a") != F.col("b")).select("a", "na", "ia", "b", "nb", "ib"))
-    stars = tables.write("stars", led.where(_fits("na", "nb", "ia", "ib")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") > F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct())
+    stars = tables.write("stars", led.where(_fits("na", "nb", "ia", "ib")).select(*_ordered("a", "b", "na", "nb")).distinct())
     near = stars.join(_sketches(nodes, "a", "x"), "a").join(_sketches(nodes, "b", "y"), "b").where(_alike("na", "nb")).select("a", "b", "na", "nb")
     links = tables.write("links", _linked(tables.write("near", near), docs, nodes))
     roots = tables.write("roots", _components(links))
 
-    # what the stars leave apart gets other stars, each row with one of another component, before any pair of a column;
-    # a column of two rows has no other pair than its star. Which components meet is drawn anew for each column and turn
+    # what the stars leave apart is tried before any pair of a column: each column draws a row, anew in each turn, most
+    # often one of the component that holds most of its rows, and of all such pairs between two components the one
+    # with the nearest sketches is tried; a column of two rows has no other pair than its star
     tested = stars.select("a", "b")
     bits = [f"x{i}" for i in range(SKETCH)]
     many = columns.groupBy("gram").agg(F.count("*").alias("k")).where("k > 2").select("gram")
@@ -400,14 +440,15 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tables.drop("columns")
     named = lambda: wide.join(roots, "node", "left").select("gram", "node", "n", "at", F.coalesce("root", "node").alias("root"))
     for turn in range(TURNS):
-        drawn = lambda c: F.xxhash64(c, "gram", F.lit(turn))  # noqa: B023, E731
-        lead = F.struct(drawn("root").alias("g"), "root", drawn("node").alias("h"), "node", "n")
-        ends = named().groupBy("gram").agg(F.min(lead).alias("lo"), F.max(lead).alias("hi")).where("lo.root <> hi.root")
-        apart = named().join(ends, "gram").withColumn("to", F.when(F.col("root") == F.col("lo.root"), F.col("hi")).otherwise(F.col("lo")))
-        fitting = apart.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("to.node").alias("b"), F.col("to.n").alias("nb")).where(_sized("na", "nb"))
-        pairs = fitting.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") > F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-        close = pairs.join(_sketches(nodes, "a", "x"), "a").join(_sketches(nodes, "b", "y"), "b").where(_alike("na", "nb")).select("a", "b", "na", "nb")
-        fresh = tables.write(f"apart{turn}", close.join(tested, ["a", "b"], "left_anti"))
+        row = F.struct(F.xxhash64("node", "gram", F.lit(turn)).alias("h"), "root", "node", "n")
+        leads = named().groupBy("gram").agg(F.min(row).alias("to"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram", "to")
+        away = named().join(leads, "gram").where("root <> to.root").select("node", "n", F.col("to.node").alias("other"), F.col("to.n").alias("m"), F.least("root", "to.root").alias("lo"), F.greatest("root", "to.root").alias("hi"))
+        close = away.where(_sized("n", "m")).distinct().join(_sketches(nodes, "node", "x"), "node").join(_sketches(nodes, "other", "y"), "other").where(_alike("n", "m"))
+        close = close.select("lo", "hi", _apart().alias("apart"), *_ordered("node", "other", "n", "m")).join(tested, ["a", "b"], "left_anti")
+        nearest = close.groupBy("lo", "hi").agg(F.min(F.struct("apart", "a", "b", "na", "nb")).alias("pair"))
+        fresh = tables.write(f"apart{turn}", nearest.select("pair.a", "pair.b", "pair.na", "pair.nb"))
+        if fresh.isEmpty():
+            break
         found = tables.write(f"found{turn}", _linked(fresh, docs, nodes))
         tested = tested.union(fresh.select("a", "b"))
         if found.isEmpty():
@@ -421,8 +462,7 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     y = open_cells.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("root").alias("rb"), *[F.col(c).alias(c.replace("x", "y")) for c in bits])
     rest = x.join(y, "gram").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & _fits("na", "nb", "ia", "ib") & _alike("na", "nb")).select("a", "b", "na", "nb").distinct()
     rest = tables.write("rest", rest.join(tested, ["a", "b"], "left_anti"))
-    more = tables.write("more", _linked(rest, docs, nodes))
-    if not more.isEmpty():
+    if not rest.isEmpty() and not (more := tables.write("more", _linked(rest, docs, nodes))).isEmpty():
         roots = tables.write("last", _joined(roots, more, tables, "above"))
 
     of_class = tables.write("classes", nodes.join(roots, "node", "left").select("digest", "doc_id", "key", F.coalesce("root", "node").alias("root")))
