@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import folds as P
 from ..sources.shared import written
-from .recall import MIRROR_LEAST
-
-PLACES = len(P.FACTORS)
+from .recall import MIRROR_LEAST, mirror_keys
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,20 +37,15 @@ def components(edges: DataFrame) -> DataFrame:
 def clusters(docs: DataFrame, least: int = MIRROR_LEAST) -> DataFrame:
     """id, cluster (its smallest id), n_links (other rows whose signature agrees in all places but one, or in all) of docs (id, text).
 
-    Rows of one signature are one class. Two classes that differ in one place agree in one half, so classes that share
-    neither half with another have no link and go first. Each of the others stands under twelve keys, its signature
-    without one place; classes under one key are linked with each other, so a star around the smallest joins them and
-    no pair is ever written, however many share a key. Two classes share one key at most, so links are counted by key.
+    Rows of one signature are one class. Each class that may have a link stands under twelve keys, its signature
+    without one place (``mirror_keys``); classes under one key are linked with each other, so a star around the smallest
+    joins them and no pair is ever written, however many share a key. Two classes share one key at most, so links are
+    counted by key.
     Texts shorter than ``least``, and null ones, have no row.
     """
     signed = written(docs.where(F.length("text") >= least).select("id", P.signature(F.col("text")).alias("s")))
     classes = written(signed.groupBy("s").agg(F.min("id").alias("node"), F.count("*").alias("n")))
-    half = PLACES // 2
-    halves = classes.select("node", F.explode(F.array(F.struct(F.lit(0).alias("band"), F.slice("s", 1, half).alias("h")), F.struct(F.lit(1).alias("band"), F.slice("s", half + 1, half).alias("h")))).alias("k")).select("node", "k.*")
-    shared = halves.groupBy("band", "h").agg(F.count("*").alias("m")).where("m > 1").select("band", "h")
-    live = classes.join(halves.join(shared, ["band", "h"], "left_semi").select("node").distinct(), "node")
-    without = F.transform(F.sequence(F.lit(1), F.lit(PLACES)), lambda k: F.struct(k.alias("place"), F.concat(F.slice("s", F.lit(1), k - 1), F.slice("s", k + 1, F.lit(PLACES))).alias("rest")))
-    keyed = written(live.select("node", "n", F.explode(without).alias("k")).select("node", "n", "k.*"))
+    keyed = written(mirror_keys(classes))
     stars = keyed.groupBy("place", "rest").agg(F.min("node").alias("head"), F.sum("n").alias("total"), F.count("*").alias("m")).where("m > 1").drop("m")
     linked = written(keyed.join(stars, ["place", "rest"]).select("node", "head", (F.col("total") - F.col("n")).alias("others")))
     roots = components(linked.select(F.col("node").alias("a"), F.col("head").alias("b")))
